@@ -97,7 +97,7 @@ def min_cost_flow(supply: list[int], allowed: list[list[int]], quota: list[int],
         for e in path:
             cap[e] -= push
             cap[e ^ 1] += push
-    return [sum(cap[e ^ 1] for e in graph[p] if to[e] == s and e & 1) or sum(cap[e] for e in graph[p] if to[e] == s) for p in range(n)]
+    return [sum(cap[e] for e in graph[p] if to[e] == s) for p in range(n)]  # what flows back could be undone
 
 
 def sized(docs: DataFrame, text: str = "text", sources: Column | None = None) -> DataFrame:
