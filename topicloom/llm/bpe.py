@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -31,7 +32,7 @@ from topicloom.llm.common import bound_batches
 
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries that the memos of a worker hold before they start anew.
-MEMO = 300_000
+MEMO = 500_000
 #: A space that belongs to a run of white space in a way that splitting at it would change.
 _RUN = re.compile(r"\s (?=\s|\Z)")
 
@@ -83,10 +84,14 @@ class Backtracker:
         self.trie.make_automaton()
         self.ids = vocab
         self.shorter = self._prefixes()
+        self.length = [len(t) for t in self.token]
+        self.digits = [str(i) for i in range(self.size)]
+        #: Tokens that the merge rules build from their own bytes: a piece that is one of these is just it.
+        self.whole = {b: i for b, i in vocab.items() if self.order[i] or len(b) == 1}
         # decoding: one byte string and the offset of each token in it
         self.bytes = b"".join(self.token)
         self.offset = np.concatenate([[0], np.cumsum([len(t) for t in self.token])]).astype(np.int64)
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.memo: dict[str, tuple[int, str, bytes]] = {}
         self.split = regex.compile(PIECES)
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
@@ -103,11 +108,9 @@ class Backtracker:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the merge rules leave a and b side by side when they meet only each other."""
-        if (known := self.pairs.get((a, b))) is not None:
-            return known
         if len(self.pairs) > MEMO:
             self.pairs.clear()
-        ok = self.pairs[a, b] = self._compatible(a, b)
+        ok = self.pairs[a << 32 | b] = self._compatible(a, b)
         return ok
 
     def _compatible(self, a: int, b: int) -> bool:
@@ -130,46 +133,43 @@ class Backtracker:
     def piece(self, text: str) -> list[int]:
         """Token ids of one pre-token."""
         data = text.encode("utf-8")
-        if (whole := self.ids.get(data)) is not None and self._whole(whole):
+        if (whole := self.whole.get(data)) is not None:
             return [whole]
-        n, s = len(data), data.decode("latin-1")
-        longest = [-1] * n
-        size = [0] * n
-        for end, i in self.trie.iter(s):
-            k = len(self.token[i])
-            if k > size[end - k + 1]:
-                size[end - k + 1], longest[end - k + 1] = k, i
-        open_ = bytearray(b"\x01") * (n + 1)
+        size, shorter, pairs = self.length, self.shorter, self.pairs
+        longest = [-1] * len(data)
+        for end, i in self.trie.iter(data.decode("latin-1")):  # ends ascend, so a later match is longer
+            longest[end + 1 - size[i]] = i
+        n, at, token, last = len(data), 0, longest[0], -1
+        shut: set[int] = set()  # ends that no chain can go on from
         out: list[int] = []
-        at, token = 0, longest[0]
         while True:
-            found = False
             while token >= 0:
-                end = at + len(self.token[token])
-                if open_[end] and (not out or self.compatible(out[-1], token)):
-                    found = True
-                    break
-                token = self.shorter[token]
-            if found:
+                if at + size[token] not in shut:
+                    if last < 0:
+                        break
+                    if (ok := pairs.get(last << 32 | token)) is None:
+                        ok = self.compatible(last, token)
+                    if ok:
+                        break
+                token = shorter[token]
+            if token >= 0:
                 out.append(token)
-                at = end
+                at += size[token]
                 if at == n:
                     return out
-                token = longest[at]
+                last, token = token, longest[at]
             else:
-                open_[at] = 0
+                shut.add(at)
                 token = out.pop()
-                at -= len(self.token[token])
-                token = self.shorter[token]
-
-    def _whole(self, i: int) -> bool:
-        """Whether the rules build token i from its own bytes (all do in a well-formed file)."""
-        return self.order[i] > 0 or len(self.token[i]) == 1
+                at -= size[token]
+                last = out[-1] if out else -1
+                token = shorter[token]
 
     def _chunk(self, text: str) -> tuple[int, str, bytes]:
         """Count, comma-joined decimal ids and packed ids of a stretch that ends at a sure border."""
-        ids = [i for p in self.split.findall(text) for i in self.piece(p)]
-        return len(ids), ",".join(map(str, ids)), np.array(ids, dtype=np.uint32).tobytes()
+        parts = self.split.findall(text)
+        ids = self.piece(parts[0]) if len(parts) == 1 else [i for p in parts for i in self.piece(p)]
+        return len(ids), ",".join([self.digits[i] for i in ids]), array("I", ids).tobytes()
 
     def _chunks(self, text: str) -> Iterator[tuple[int, str, bytes]]:
         memo = self.memo
