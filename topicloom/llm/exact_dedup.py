@@ -77,8 +77,8 @@ class BinaryFuse:
             return cls(0, 1, 0, np.zeros(0, dtype=np.uint8))
         segment = 1 << max(2, min(12, int(np.log(n) / np.log(3.33) + 2.25)))
         for seed in range(1, 1000):
-            grow = max(1.125, 0.875 + 0.25 * np.log(1e6) / np.log(max(n, 2))) * (1 + seed // 20 * 0.1)
-            segments = max(1, int(np.ceil(n * grow / segment)) - 2) + (n < 1000) * 2
+            grow = max(1.125, 0.875 + 0.25 * np.log(1e6) / np.log(max(n, 2))) * (1 + seed // 20 * 0.1)  # larger only if many seeds fail
+            segments = max(1, int(np.ceil(n * grow / segment)) - 2)
             f = cls(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1, segment, segments, np.zeros((segments + 2) * segment, dtype=np.uint8))
             if f._fill(keys):
                 return f

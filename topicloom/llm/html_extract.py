@@ -203,7 +203,10 @@ def covered(tokens: np.ndarray, page: np.ndarray, run: int = RUN, pages: int = P
 
 
 def without_boilerplate(pages_blocks: list[list[str]], run: int = RUN, pages: int = PAGES) -> list[list[str]]:
-    """The blocks (or their unique runs) that are left of each page of a host. Equal pages count once."""
+    """The blocks (or their unique runs) that are left of each page of a host. Equal pages count once.
+
+    A run may span blocks; of a block that it covers in part it takes only ``run`` words or more.
+    """
     stream, page, block = [], [], []
     number: dict[str, int] = {}
     who: dict[str, int] = {}
@@ -215,6 +218,16 @@ def without_boilerplate(pages_blocks: list[list[str]], run: int = RUN, pages: in
                 page.append(own)
                 block.append((p, b, w))
     hit = covered(np.array(stream, dtype=np.int64), np.array(page, dtype=np.int64), run, pages)
+    at = 0
+    for bs in pages_blocks:
+        for text in bs:
+            own = hit[at : at + text.count(" ") + 1]
+            if not own.all():
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]])))
+                for a, b in zip(edge[::2], edge[1::2], strict=True):
+                    if b - a < run:
+                        own[a:b] = False
+            at += len(own)
     left: list[list[list[str]]] = [[[] for _ in bs] for bs in pages_blocks]
     for (p, b, w), gone in zip(block, hit.tolist(), strict=True):
         if not gone:

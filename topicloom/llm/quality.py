@@ -4,7 +4,7 @@ A linear model over a piecewise-linear basis of text statistics minimises the no
 ``p R+(P) + max(0, R-(U) - p R-(P))`` with logistic loss: trusted positives are labelled good rows outside
 the held-out fold, the unlabelled side is plain documents (labels unused). The class prior p is estimated
 from the two samples: the least ratio of unlabelled to positive mass over regions where a first model is
-confident. Fitting uses bounded samples (``FIT_ROWS`` a side); every text is scored whole.
+confident, on rows which that model has not seen. Fitting uses bounded samples (``FIT_ROWS`` a side); every text is scored whole.
 
 Inputs of a score are the text's own statistics; never labels, lang, source or doc_id.
 
@@ -123,13 +123,16 @@ def class_prior(score_p: np.ndarray, score_u: np.ndarray, least: float = 0.1) ->
 
 
 def fit_arrays(p: np.ndarray, u: np.ndarray) -> Model:
+    p, u = (x[np.lexsort(x.T[::-1])] for x in (p, u))  # the order in which rows arrive does not matter
     both = np.concatenate([p, u])
     mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-6
     z = np.clip((both - mean) / scale, -6, 6)
     model = Model(mean, scale, np.quantile(z, KNOTS, axis=0), np.zeros(0), 0.5)
     bp, bu = model.basis(p), model.basis(u)
-    model.weights = _minimise(bp, bu, 0.5)
-    model.prior = class_prior(bp @ model.weights, bu @ model.weights)
+    # the prior comes from rows that the first model has not seen, or it would fit its own positives too well
+    first = _minimise(bp[::2], bu[::2], 0.5) if len(bp) > 1 else _minimise(bp, bu, 0.5)
+    rest = (bp[1::2], bu[1::2]) if len(bp) > 1 and len(bu) > 1 else (bp, bu)
+    model.prior = class_prior(rest[0] @ first, rest[1] @ first, least=0.3)
     model.weights = _minimise(bp, bu, model.prior)
     return model
 

@@ -76,7 +76,7 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     a, b = F.col("k") + F.col("s3") * F.col("dm"), F.col("n") - F.col("k") + F.col("s3") * (1 - F.col("dm"))
     both = hosts.join(up, "domain").select("host", a.alias("a"), b.alias("b"))
     mean = F.col("a") / (F.col("a") + F.col("b"))
-    return both.select("host", (mean - Z * F.sqrt(mean * (1 - mean) / (F.col("a") + F.col("b") + 1))).alias("bound"))
+    return both.select("host", F.greatest(F.lit(0.0), mean - Z * F.sqrt(mean * (1 - mean) / (F.col("a") + F.col("b") + 1))).alias("bound"))
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, threshold: float = THRESHOLD) -> DataFrame:
