@@ -23,21 +23,18 @@ def tokens(text: Column, least: int = 2, stop: Iterable[str] | None = None) -> C
     return found
 
 
-def bigrams(t: Column) -> Column:
-    return F.when(F.size(t) < 2, F.array().cast("array<string>")).otherwise(F.zip_with(F.slice(t, 1, F.size(t) - 1), F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b)))
-
-
 def ngrams(t: Column, least: int = 1, most: int = 2) -> Column:
-    """All n-grams of an array of tokens, joined by a space."""
-    parts = []
-    for n in range(least, most + 1):
-        if n == 1:
-            parts.append(t)
-        elif n == 2:
-            parts.append(bigrams(t))
-        else:
-            starts = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - (n - 1))).otherwise(F.array().cast("array<int>"))
-            parts.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(t, i, n), " ")))
+    """All n-grams of an array of tokens, joined by a space.
+
+    Pass a column that holds the tokens, not the expression that makes them, or it is evaluated again.
+    """
+    parts, grams = [], t
+    for n in range(1, most + 1):
+        if n > 1:  # the (n - 1)-gram at i and the token at i + n - 1
+            left, right = F.slice(grams, 1, F.greatest(F.size(t) - (n - 1), F.lit(0))), F.slice(t, n, F.greatest(F.size(t) - (n - 1), F.lit(0)))
+            grams = F.zip_with(left, right, lambda a, b: F.concat(a, F.lit(" "), b))
+        if n >= least:
+            parts.append(grams)
     return F.concat(*parts)
 
 
@@ -132,11 +129,15 @@ def unverified(narrative: str | None, sources: Iterable[str]) -> list[str]:
     return [q for q in quotes_of(narrative) if (f := fold_quotes(q).strip(" .,;:!?")) and not any(f in b for b in body)]
 
 
-@F.pandas_udf("array<string>")
-def extract_quotes(narratives: pd.Series) -> pd.Series:
-    return narratives.map(quotes_of)
+def extract_quotes(narratives: Column) -> Column:
+    def run(xs: pd.Series) -> pd.Series:
+        return xs.map(quotes_of)
+
+    return F.pandas_udf(run, "array<string>")(narratives)
+
 
+def unverified_quotes(narratives: Column, sources: Column) -> Column:
+    def run(ns: pd.Series, ss: pd.Series) -> pd.Series:
+        return pd.Series([unverified(n, list(x) if x is not None else []) for n, x in zip(ns, ss, strict=True)])
 
-@F.pandas_udf("array<string>")
-def unverified_quotes(narratives: pd.Series, sources: pd.Series) -> pd.Series:
-    return pd.Series([unverified(n, list(s) if s is not None else []) for n, s in zip(narratives, sources, strict=True)])
+    return F.pandas_udf(run, "array<string>")(narratives, sources)

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EPS = 1e-10
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once, not again for each element of a lambda in body."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
@@ -26,8 +33,7 @@ def scale(v: Column, by: Column) -> Column:
 
 def l2(v: Column) -> Column:
     """Unit vector; a zero vector stays zero."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
+    return let(v, lambda u: let(norm(u), lambda n: F.when(n > 0, F.transform(u, lambda x: x / n)).otherwise(u)))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -41,7 +47,7 @@ def euclidean(a: Column, b: Column) -> Column:
 
 def blend(v: Column, c: Column, beta: Column) -> Column:
     """(1 - beta) v + beta c, scaled to unit length."""
-    return l2(F.zip_with(v, c, lambda x, y: x * (F.lit(1.0) - beta) + y * beta))
+    return l2(let(beta, lambda b: F.zip_with(v, c, lambda x, y: x * (F.lit(1.0) - b) + y * b)))
 
 
 def hstack(*weighted: tuple[Column, float]) -> Column:
@@ -51,10 +57,8 @@ def hstack(*weighted: tuple[Column, float]) -> Column:
 
 def softmax(sims: Column, temperature: float = 5.0) -> Column:
     """Softmax of an array of similarities."""
-    top = F.array_max(sims)
-    powers = F.transform(sims, lambda s: F.exp(F.lit(temperature) * (s - top)))
-    total = F.aggregate(powers, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(powers, lambda x: x / total)
+    powers = let(F.array_max(sims), lambda top: F.transform(sims, lambda s: F.exp(F.lit(temperature) * (s - top))))
+    return let(powers, lambda p: let(F.aggregate(p, F.lit(0.0), lambda s, x: s + x), lambda total: F.transform(p, lambda x: x / total)))
 
 
 def entropy(probs: Column) -> Column:

@@ -11,13 +11,13 @@ from topicloom.functions.text import label_key, ngrams, simple_description, simp
 def term_counts(docs: DataFrame, stop: frozenset[str] | None = None, most: int = 2, weight: str | None = None) -> DataFrame:
     """doc_id, topic_id, term, tf (times the document's weight)."""
     extra = [weight] if weight else []
-    t = docs.select("doc_id", "topic_id", *extra, F.explode(ngrams(tokens(F.col("text"), 2, stop), 1, most)).alias("term"))
+    t = docs.select("doc_id", "topic_id", *extra, tokens(F.col("text"), 2, stop).alias("ts")).select("doc_id", "topic_id", *extra, F.explode(ngrams(F.col("ts"), 1, most)).alias("term"))
     tf = F.count(F.lit(1)).cast("double") if not weight else F.sum(weight)
     return t.groupBy("doc_id", "topic_id", "term").agg(tf.alias("tf"))
 
 
 def document_frequency(docs: DataFrame, stop: frozenset[str] | None = None, most: int = 2) -> DataFrame:
-    t = docs.select("doc_id", F.explode(F.array_distinct(ngrams(tokens(F.col("text"), 2, stop), 1, most))).alias("term"))
+    t = docs.select("doc_id", tokens(F.col("text"), 2, stop).alias("ts")).select("doc_id", F.explode(F.array_distinct(ngrams(F.col("ts"), 1, most))).alias("term"))
     return t.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
@@ -64,7 +64,7 @@ def bm25(docs: DataFrame, candidates: DataFrame | None = None, stop: frozenset[s
 
 def keyphrases(docs: DataFrame, n: int = 10, most: int = 3, stop: frozenset[str] | None = None) -> DataFrame:
     """Most frequent n-grams of a topic, scaled by the most frequent."""
-    t = docs.select("topic_id", F.explode(ngrams(tokens(F.col("text"), 2, stop), 1, most)).alias("term")).groupBy("topic_id", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+    t = docs.select("topic_id", tokens(F.col("text"), 2, stop).alias("ts")).select("topic_id", F.explode(ngrams(F.col("ts"), 1, most)).alias("term")).groupBy("topic_id", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
     top = F.max("tf").over(Window.partitionBy("topic_id"))
     return top_terms(t.select("topic_id", "term", (F.col("tf") / top).alias("score")), n)
 

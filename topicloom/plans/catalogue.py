@@ -188,7 +188,7 @@ def json_answers_parse(s, d):
 @query()
 def quote_check(s, d):
     b = t(s, d, "benchmark").select("item_id", F.concat(F.lit('It says "'), F.substring("text", 1, 60), F.lit('" and "words that nobody wrote" there, and much else besides that is not in any quotation at all.')).alias("narrative"), F.array("text").alias("sources"))
-    return b.select("item_id", X.unverified_quotes("narrative", "sources").alias("unverified"))
+    return b.select("item_id", X.unverified_quotes(F.col("narrative"), F.col("sources")).alias("unverified"))
 
 
 # ---- vectors and neighbours -----------------------------------------------------------------------------------
@@ -237,7 +237,7 @@ def hybrid_graph(s, d):
 
 
 _LEX = _TFIDF + f""", lp AS (SELECT a.doc_id AS src, b.doc_id AS dst, round(sum(a.tfidf * b.tfidf), 9) AS sim FROM m a JOIN m b USING (term) WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
-lk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(sim, 6) DESC, dst) AS rank FROM lp) WHERE rank <= {K}),
+lk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) AS rank FROM lp) WHERE rank <= {K}),
 lx AS (SELECT a.src, a.dst, (a.sim + b.sim) / 2 AS weight FROM lk a JOIN lk b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst AND least(a.sim, b.sim) > 0)"""
 
 
