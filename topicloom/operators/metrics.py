@@ -70,7 +70,7 @@ def silhouette(rows: DataFrame) -> DataFrame:
     blocks = max(1, -(-x.count() // 4096))
     parts = 8 if blocks == 1 else 2 * blocks
     q = x.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("xb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    d = x.withColumn("xb", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    d = x.select(F.col("id").alias("id"), F.col("t").alias("t"), F.col("v").alias("v"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("xb")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def cell(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:

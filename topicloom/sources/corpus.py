@@ -39,7 +39,7 @@ def from_lists(spark: SparkSession, texts: Sequence[str], vectors: np.ndarray |
         cols["v"] = pa.array([list(map(float, v)) for v in vectors], pa.list_(pa.float64()))
     if weights is not None:
         cols["weight"] = pa.array(list(map(float, weights)), pa.float64())
-    return spark.createDataFrame(pa.table(cols).to_pandas(), T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), *([T.StructField("v", T.ArrayType(T.DoubleType()))] if vectors is not None else []), *([T.StructField("weight", T.DoubleType())] if weights is not None else [])]))
+    return spark.createDataFrame(pa.table(cols))
 
 
 def encode(docs: DataFrame, encoder: Callable[[], object], prefix: str = "", normalise: bool = True) -> DataFrame:
@@ -186,5 +186,5 @@ def markdown_report(title: str, themes: Sequence[dict], topics: Sequence[dict])
 
 
 def write_text(spark: SparkSession, text: str, path: str) -> None:
-    """A small text through Spark's writer, so that any store it knows will do."""
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "").text(path)
+    """A small text through Spark's writer, so that any store it knows will do; it ends with a line end."""
+    spark.createDataFrame([(text.removesuffix("\n"),)], "value string").coalesce(1).write.mode("overwrite").text(path)

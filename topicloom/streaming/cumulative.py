@@ -308,23 +308,32 @@ def compare_strategies(spark: SparkSession, batches: list[DataFrame], folder: st
 # ---- event-time operators on an event stream (an extension) ---------------------------------------------------
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    """ts as an instant with a watermark; one that is there already stays, as a second is not allowed."""
+    ts = events.schema["ts"]
+    if "spark.watermarkDelayMs" in (ts.metadata or {}):
+        return events
+    timed = events if isinstance(ts.dataType, T.TimestampType) else events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return timed.withWatermark("ts", late)
+
+
 def windowed(events: DataFrame, size: str = "1 day", slide: str | None = None, late: str = "1 hour") -> DataFrame:
     """Counts and sums by tumbling (or sliding) event-time window and type, with a watermark for late rows.
 
     Works on batch and streaming frames; ``ts`` is cast to an instant first, as watermarks need.
     """
-    e = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    e = _timed(events, late)
     w = F.window("ts", size, slide) if slide else F.window("ts", size)
     return e.groupBy(w.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    e = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    e = _timed(events, late)
     return e.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 def deduplicated(events: DataFrame, key: str = "event_id", late: str = "1 hour") -> DataFrame:
-    e = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    e = _timed(events, late)
     return e.dropDuplicatesWithinWatermark([key]) if events.isStreaming else e.dropDuplicates([key])
 
 
