@@ -409,3 +409,14 @@ def test_classifiers_take_hard_rows(docs, empty, labels):
         assert len(got) == len(rows()) and all(0 <= r["score"] <= 1 for r in got)
         assert f(empty, labels).count() == 0
         assert f(docs, labels.limit(0)).count() == len(rows())
+
+
+def test_insult_stems():
+    g = toxicity.Grammar({"foo*": 2.0, "foobar*": 5.0, "plain": 3.0})
+    assert g.hits({"foo", "fool", "foobars", "plain", "plainly", "kill"}) == {"fool": ("insult", 2.0), "foobars": ("insult", 5.0), "plain": ("insult", 3.0), "kill": ("threat", g.threats["kill"])}
+    assert g.clauses("you fool")[0] == [(2.0 * toxicity.TARGETED, True)] and g.clauses("foo")[0] == []
+
+
+def test_short_payloads_have_landmarks():
+    t, c = media.landmarks(np.frombuffer(media.padded(b"a few words"), dtype=np.uint8))
+    assert len(t) == len(media.BANDS) - 1 and (c & 255 == 0).all()

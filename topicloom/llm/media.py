@@ -4,6 +4,7 @@ A payload of bytes is stored as 8-bit mono samples. Features come from the sampl
 Fourier transform with a Hann window, the strongest bin of each band in each frame, kept where it is a local
 maximum in time, and pairs of such peaks a few frames apart. A pair is the code ``f1 << 20 | f2 << 8 | dt``
 at the time (frame) of its first peak: an array of time-coded landmarks, as in public audio fingerprinting.
+A payload too short for pairs in time pairs the peaks of each frame (dt 0).
 
 Defined results: a null text counts as empty (64 zero bytes); equal texts give equal values; silence (all
 samples equal) has no landmarks; repeated rows are handled one by one; extra columns are left alone.
@@ -87,6 +88,10 @@ def landmarks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             times.append(at)
             codes.append(bins[at, band] << 20 | bins[at + dt, band] << 8 | dt)
     t, c = np.concatenate(times), np.concatenate(codes)
+    if not len(t):  # too short for pairs in time: the peaks of a frame are paired with each other
+        frame = np.arange(len(bins))
+        t = np.concatenate([frame] * (len(BANDS) - 1))
+        c = np.concatenate([bins[:, b] << 20 | bins[:, b + 1] << 8 for b in range(len(BANDS) - 1)])
     order = np.lexsort((c, t))
     return t[order], c[order]
 

@@ -7,8 +7,9 @@ only with a target, negation just before discounts it, and so does a verb of say
 opened before it. A word alone is not a score: clauses are, and a document's features are its clauses'.
 
 The insult lexicon (beyond a few seeds) and its weights are log odds over labelled rows outside the held-out
-fold, and a small logistic model maps clause features to a probability; both are fitted on a bounded sample
-of labelled rows (``FIT_ROWS``). Every text is scored whole. Labels, lang, source and doc_id are no inputs.
+fold: whole words, and stems that nearly only insults begin with (written ``stem*``, the longest that fits a
+word counts), so an inflection that the sample lacks is read too. A small logistic model maps clause features to a probability; both are fitted on a bounded
+sample of labelled rows (``FIT_ROWS``). Every text is scored whole. Labels, lang, source and doc_id are no inputs.
 
 Defined results: null and empty texts match nothing and score the model's base rate; equal texts get equal
 scores; without labels the seeds alone decide; an empty table gives no rows.
@@ -34,6 +35,8 @@ from topicloom.llm.common import bound_batches, fold
 FIT_ROWS = 20_000
 #: A learnt insult needs this likelihood ratio and this share of toxic rows among those that have it.
 MIN_RATIO, MIN_SHARE = 20.0, 0.5
+#: Lengths of stems, and the share of toxic rows among those that have a word with a learnt stem.
+STEMS, STEM_SHARE = range(3, 9), 0.9
 PREDICT = 0.3
 
 SEEDS = dict.fromkeys("idiot idiots moron morons stupid scum loser losers trash worthless pathetic disgusting clown imbecile dumb filth vermin bastard bitch asshole fuck fucking shit arschloch dummkopf abschaum schlampe connard salope ordure pendejo gilipollas escoria".split(), 4.0)
@@ -57,12 +60,29 @@ class Grammar:
     threats: dict[str, float] = field(default_factory=lambda: dict(THREATS))
 
     def __post_init__(self) -> None:
-        self.triggers = frozenset(self.insults) | frozenset(self.threats)
+        self.triggers = frozenset(w for w in self.insults if not w.endswith("*")) | frozenset(self.threats)
+        self.stems = {w[:-1]: x for w, x in self.insults.items() if w.endswith("*")}
+        self.heads = frozenset(w[: STEMS[0]] for w in self.stems)
+
+    def stemmed(self, word: str) -> float | None:
+        """Weight of the longest stem that the word goes on from."""
+        for n in range(min(STEMS[-1], len(word) - 1), STEMS[0] - 1, -1):
+            if (x := self.stems.get(word[:n])) is not None:
+                return x
+        return None
+
+    def hits(self, words: set[str]) -> dict[str, tuple[str, float]]:
+        """Kind and weight of the words that trigger a score; a threat is one even if it looks like an insult."""
+        out = {w: ("insult", x) for w in words if w[: STEMS[0]] in self.heads and (x := self.stemmed(w)) is not None}
+        for w in self.triggers & words:
+            out[w] = ("insult", self.insults[w]) if w in self.insults else ("threat", self.threats[w])
+        return out
 
     def clauses(self, text: str) -> tuple[list[tuple[float, bool]], int]:
         """Weight of each accepted clause and whether it has a target, and the number of words."""
         tokens = _TOKEN.findall(text.lower())
-        if self.triggers.isdisjoint(tokens):
+        known = self.hits(set(tokens))
+        if not known:
             return [], len(tokens)
         out: list[tuple[float, bool]] = []
         hits: list[tuple[str, float]] = []  # kind and weight after its modifiers
@@ -89,12 +109,9 @@ class Grammar:
                 reported = True
             elif t in TARGETS:
                 target = True
-            if t in self.triggers:
-                w = (NEGATED if since <= REACH else 1) * (REPORTED if reported or quoted else 1)
-                if t in self.insults:
-                    hits.append(("insult", w * self.insults[t]))
-                else:
-                    hits.append(("threat", w * self.threats[t]))
+            if t in known:
+                kind, weight = known[t]
+                hits.append((kind, weight * (NEGATED if since <= REACH else 1) * (REPORTED if reported or quoted else 1)))
         close()
         return out, len(tokens)
 
@@ -139,13 +156,15 @@ def _ratio(a: float, b: float, pos: float, neg: float) -> float:
 
 
 def learn_lexicon(rows: DataFrame, pos: int, neg: int) -> dict[str, float]:
-    """Insult words with their log odds, from rows text and toxic."""
+    """Insult words and stems (``stem*``) with their log odds, from rows text and toxic."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = (Counter(), Counter())
         for batch in batches:
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[y].update({w for w in _TOKEN.findall((t or "").lower()) if len(w) > 1})
+                words = {w for w in _TOKEN.findall((t or "").lower()) if len(w) > 1}
+                seen[y].update(words)
+                seen[y].update({w[:n] + "*" for w in words for n in STEMS if len(w) > n})
             if len(seen[0]) + len(seen[1]) > 300_000:
                 yield flush(seen)
                 seen[0].clear(), seen[1].clear()
@@ -156,8 +175,9 @@ def learn_lexicon(rows: DataFrame, pos: int, neg: int) -> dict[str, float]:
         return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[1][w] for w in words], pa.int64()), pa.array([seen[0][w] for w in words], pa.int64())], names=["w", "a", "b"])
 
     counts = rows.mapInArrow(count, "w string, a long, b long").groupBy("w").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    # at least MIN_SHARE of its rows are toxic: what remains is bounded by the sample's toxic vocabulary
-    found = counts.where((F.col("a") >= 3) & (F.col("a") >= MIN_SHARE * (F.col("a") + F.col("b")))).collect()
+    # nearly only toxic rows have it: what remains is bounded by the sample's toxic vocabulary
+    share = F.when(F.col("w").endswith("*"), STEM_SHARE).otherwise(MIN_SHARE)
+    found = counts.where((F.col("a") >= 3) & (F.col("a") >= share * (F.col("a") + F.col("b")))).collect()
     odds = lambda r: math.log((r.a + 0.5) / (pos + 1)) - math.log((r.b + 0.5) / (neg + 1))
     return {r.w: odds(r) for r in found if _ratio(r.a, r.b, pos, neg) >= MIN_RATIO}
 
