@@ -345,7 +345,7 @@ def test_sources_and_sinks(spark, tmp_path, blobs, fitted):
     assert corpus.retrying(flaky, sleep=lambda s: None).encode(["a"] * 150).shape == (150, 2) and calls == [100, 100, 50]
     text = corpus.markdown_report("R", [{"theme_id": 1, "title": "T", "total_size": 2, "keywords": ["k"], "narrative": "n", "unverified_quotes": ["q"]}], [{"topic_id": 0, "size": 2, "keywords": ["k"]}])
     corpus.write_text(spark, text, f"{tmp_path}/r")
-    assert "“q”" in text and spark.read.option("wholetext", True).text(f"{tmp_path}/r").first()[0] == text
+    assert "“q”" in text and spark.read.text(f"{tmp_path}/r", wholetext=True).first()[0] == text
     with pytest.raises(ValueError):
         corpus.corpus(spark.createDataFrame([], "doc_id long, text string"))
 

@@ -319,7 +319,7 @@ def themes(client: Client, topics: list[dict], write: bool = True, chars: int =
         got = []
     out, seen = [], set()
     for g in got:
-        ids = [int(x) for x in g.get("topics", []) if str(x).lstrip("-").isdigit() and int(x) in by and int(x) not in seen] if isinstance(g, dict) else []
+        ids = list(dict.fromkeys(int(x) for x in g.get("topics", []) if str(x).lstrip("-").isdigit() and int(x) in by and int(x) not in seen)) if isinstance(g, dict) else []
         if ids:
             seen |= set(ids)
             out.append({"title": str(g.get("title") or "").strip() or keyword_label(by[ids[0]]["keywords"])[0], "topic_ids": ids})
