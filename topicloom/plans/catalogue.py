@@ -277,7 +277,7 @@ def metadata_numeric(s, d):
 def multiview_fusion(s, d):
     e = t(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"))
     x = docs(s, d).join(e, "doc_id", "left_semi")
-    lex = graph.mutual(graph.lexical_knn(graph.tfidf(x, ENGLISH, max_terms=2_000), K))
+    lex = graph.mutual(graph.lexical_knn(graph.tfidf(x, ENGLISH, max_terms=10_000), K))
     return rounded(graph.fuse(_hybrid(s, d), lex, graph.metadata_edges(_meta(s, d), K)), "weight")
 
 

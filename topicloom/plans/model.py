@@ -24,7 +24,7 @@ class Config:
     graph_type: str = "hybrid"
     snn_weight: float = 0.5
     use_lexical: bool = False
-    lexical_terms: int = 2_000
+    lexical_terms: int = 10_000
     weights: tuple[float, float, float] = (0.5, 0.3, 0.2)
     n_runs: int = 4
     resolution: float = 1.0
