@@ -1,8 +1,9 @@
 """Operators do the whole job where a bound used to cut it."""
 
+import numpy as np
 import pytest
 
-from topicloom.operators import graph
+from topicloom.operators import graph, knn, topics
 from topicloom.plans import catalogue
 from topicloom.plans import model as M
 
@@ -22,3 +23,15 @@ def test_lexical_views_keep_ten_thousand_terms(spark, tmp_path, monkeypatch):
     with pytest.raises(Seen, match="^10000$"):
         catalogue.QUERIES["multiview_fusion"](spark, str(tmp_path))
     assert M.Config().lexical_terms == 10_000
+
+
+def test_exact_neighbours_stay_exact_beyond_the_switch(spark, tmp_path, monkeypatch):
+    x = np.random.default_rng(0).normal(size=(400, 8)).astype(np.float32)
+    spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label long").write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(knn, "EXACT_ROWS", 100)
+    x = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    s = np.round(x @ x.T, 9)
+    np.fill_diagonal(s, -np.inf)
+    want = {(i, int(j)) for i in range(len(x)) for j in np.argsort(-s[i], kind="stable")[: catalogue.K]}
+    for name in ("knn_exact", "knn_directed_edges"):
+        assert {(r["src"], r["dst"]) for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()} == want

@@ -59,7 +59,7 @@ def vecs(s: SparkSession, d: str) -> DataFrame:
 
 
 def near(s: SparkSession, d: str) -> DataFrame:
-    return knn.self_knn(vecs(s, d).select(F.col("doc_id").alias("id"), "v"), K)
+    return knn.self_knn(vecs(s, d).select(F.col("doc_id").alias("id"), "v"), K, backend="exact")
 
 
 D = f"d AS (SELECT doc_id, coalesce(text, '') AS text, {LANGS} AS topic_id FROM documents)"
