@@ -35,3 +35,22 @@ def test_exact_neighbours_stay_exact_beyond_the_switch(spark, tmp_path, monkeypa
     want = {(i, int(j)) for i in range(len(x)) for j in np.argsort(-s[i], kind="stable")[: catalogue.K]}
     for name in ("knn_exact", "knn_directed_edges"):
         assert {(r["src"], r["dst"]) for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()} == want
+
+
+def test_mmr_considers_every_member(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(2300, 4)) * 0.05 + [3, 1, 0, 0], rng.normal(size=(60, 4)) + [0, 4, 0, 2], rng.normal(size=(30, 4))])
+    topic = [0] * 2360 + [-1] * 30
+    got = topics.representatives_mmr(spark.createDataFrame([(i, v.tolist(), t) for i, (v, t) in enumerate(zip(x, topic, strict=True))], "doc_id long, v array<double>, topic_id int"), 4).collect()
+    for t in (0, -1):
+        ids = np.flatnonzero(np.array(topic) == t)
+        m = x[ids]
+        unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+        mean = m.mean(0)
+        rel, high, want = unit @ (mean / np.linalg.norm(mean)), np.zeros(len(m)), []
+        for _ in range(4):
+            score = 0.7 * rel - 0.3 * high
+            score[want] = -np.inf
+            want.append(int(np.argmax(np.round(score, 9))))
+            high = np.maximum(high, unit @ unit[want[-1]])
+        assert [r["doc_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["topic_id"] == t] == ids[want].tolist()

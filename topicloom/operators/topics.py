@@ -6,12 +6,14 @@ row for each topic), and only while their number is below ``MAX_TOPICS``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.functions import vectors as V
+from topicloom.session import cut
 
 MAX_TOPICS = 20_000
 TEMPERATURE = 5.0
@@ -111,31 +113,26 @@ def representatives(rows: DataFrame, n: int = 3) -> DataFrame:
     return distances(rows).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def representatives_mmr(rows: DataFrame, n: int = 3, balance: float = 0.7, pool: int = 2_000) -> DataFrame:
+def representatives_mmr(rows: DataFrame, n: int = 3, balance: float = 0.7) -> DataFrame:
     """Greedy maximal marginal relevance: balance * relevance - (1 - balance) * similarity to those chosen.
 
-    pool: the nearest documents of a topic that are considered (a documented parameter, as the choice is
-    a report of n documents).
+    Every document of a topic is a candidate and counts in its mean. Each of n rounds is one distributed argmax
+    (ties to the smaller id); what is joined to the rows are the few already chosen.
     """
-    near = representatives(rows, pool).select("doc_id", "topic_id").join(rows.select("doc_id", "v"), "doc_id")
-
-    def pick(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("doc_id")
-        x = np.stack(t["v"].to_numpy())
-        mean = x.mean(0)
-        unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-10)
-        rel = unit @ (mean / max(np.linalg.norm(mean), 1e-10))
-        chosen: list[int] = []
-        high = np.full(len(x), -np.inf)
-        for _ in range(min(n, len(x))):
-            s = balance * rel - (1 - balance) * (np.maximum(high, 0) if chosen else 0)
-            s[chosen] = -np.inf
-            i = int(np.argmax(np.round(s, 9)))
-            chosen.append(i)
-            high = np.maximum(high, unit @ unit[i])
-        return pd.DataFrame({"topic_id": t["topic_id"].iloc[0], "doc_id": t["doc_id"].to_numpy()[chosen], "rank": np.arange(1, len(chosen) + 1)})
-
-    return near.groupBy("topic_id").applyInPandas(pick, "topic_id int, doc_id long, rank int")
+    mean = few(cut(vector_mean(rows, ["topic_id"])))
+    base = cut(rows.join(mean, "topic_id").select("topic_id", "doc_id", "v", V.cosine(F.col("v"), F.col("centroid")).alias("rel")))
+    picked: list[DataFrame] = []
+    for r in range(1, max(1, n) + 1):
+        left, high = base, F.lit(0.0)
+        if picked:
+            taken = reduce(DataFrame.unionAll, picked).groupBy("topic_id").agg(F.collect_list("doc_id").alias("ids"), F.collect_list("v").alias("vs"))
+            left = base.join(few(taken), "topic_id").where(~F.array_contains("ids", F.col("doc_id")))
+            high = F.greatest(high, F.array_max(F.transform("vs", lambda c: V.cosine(F.col("v"), c))))
+        score = F.round(F.lit(balance) * F.col("rel") - F.lit(1 - balance) * high, 9)
+        first = left.select("topic_id", "doc_id", "v", score.alias("score")).groupBy("topic_id")
+        best = first.agg(F.max_by(F.struct("doc_id", "v"), F.struct("score", -F.col("doc_id"))).alias("x"))
+        picked.append(cut(best.select("topic_id", "x.doc_id", "x.v", F.lit(r).alias("rank"))))
+    return reduce(DataFrame.unionAll, picked).where(F.col("rank") <= n).select("topic_id", "doc_id", "rank")
 
 
 def representatives_stratified(rows: DataFrame, n: int = 10, shares: tuple[float, float, float] = (0.6, 0.3, 0.1)) -> DataFrame:
