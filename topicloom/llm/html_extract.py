@@ -7,8 +7,8 @@ repeat across pages, so repetition there is no sign of boilerplate.
 
 Pages without such a part go through host suffix arrays: the token streams of pages of a host are put in one
 string, the suffixes are ranked by prefix doubling, and long substrings that occur in several distinct pages
-are boilerplate; the blocks they cover go and the unique runs stay. A large host is dealt over groups of
-bounded size by a hash of the page, as boilerplate that many pages share shows in every group.
+are boilerplate; the blocks they cover go and the unique runs stay. For a host too large for one task the same
+runs are found over the whole host by a shuffle on hashes of windows of ``RUN`` tokens.
 
 Defined results: null and empty html give the empty text; unclosed elements end with their parent or the page;
 white space inside a block becomes one space; repeated pages do not count as distinct pages; an empty table
@@ -26,6 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
 from topicloom.llm.common import bound_batches, cut
 
@@ -49,8 +50,10 @@ _PART = re.compile(r"[^a-zA-Z0-9]+")
 _P_ENDS = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 #: Tokens that a repeated run has at least, and distinct pages that it is found in.
 RUN, PAGES = 8, 2
-#: Characters of a host's blocks that one group holds on average.
+#: Characters of a host's blocks up to which one task takes the host; larger ones are shuffled by windows.
 GROUP_CHARS = 2_000_000
+#: Windows in one batch of rows.
+STEP = 10_000
 
 
 def _unwanted(tag: str, attrs: str) -> bool:
@@ -207,32 +210,85 @@ def without_boilerplate(pages_blocks: list[list[str]], run: int = RUN, pages: in
 
     A run may span blocks; of a block that it covers in part it takes only ``run`` words or more.
     """
-    stream, page, block = [], [], []
+    stream, page = [], []
     number: dict[str, int] = {}
     who: dict[str, int] = {}
     for p, bs in enumerate(pages_blocks):
         own = who.setdefault("\n".join(bs), p)
-        for b, text in enumerate(bs):
+        for text in bs:
             for w in text.split(" "):
                 stream.append(number.setdefault(w, len(number)))
                 page.append(own)
-                block.append((p, b, w))
     hit = covered(np.array(stream, dtype=np.int64), np.array(page, dtype=np.int64), run, pages)
-    at = 0
+    at, left = 0, []
     for bs in pages_blocks:
-        for text in bs:
-            own = hit[at : at + text.count(" ") + 1]
-            if not own.all():
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]])))
-                for a, b in zip(edge[::2], edge[1::2], strict=True):
-                    if b - a < run:
-                        own[a:b] = False
-            at += len(own)
-    left: list[list[list[str]]] = [[[] for _ in bs] for bs in pages_blocks]
-    for (p, b, w), gone in zip(block, hit.tolist(), strict=True):
-        if not gone:
-            left[p][b].append(w)
-    return [[" ".join(ws) for ws in bs if ws] for bs in left]
+        n = sum(text.count(" ") + 1 for text in bs)
+        left.append(what_is_left(bs, hit[at : at + n], run))
+        at += n
+    return left
+
+
+def what_is_left(blocks_: list[str], hit: np.ndarray, run: int = RUN) -> list[str]:
+    """The blocks of one page without the tokens hit; of a block hit in part only runs of run tokens go."""
+    at, left = 0, []
+    for text in blocks_:
+        words = text.split(" ")
+        own = hit[at : at + len(words)].copy()
+        if not own.all():
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]])))
+            for a, b in zip(edge[::2], edge[1::2], strict=True):
+                if b - a < run:
+                    own[a:b] = False
+        if not own.all():
+            left.append(" ".join(w for w, gone in zip(words, own.tolist(), strict=True) if not gone))
+        at += len(words)
+    return left
+
+
+# ---- a host too large for one task -------------------------------------------------------------------
+
+
+def windows(rows: DataFrame, run: int = RUN) -> DataFrame:
+    """own (the page's content), pos and h (128 bits of host and words) of each window of run tokens."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for host, own, bs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = [w for text in bs for w in text.split(" ")]
+                for lo in range(0, len(words) - run + 1, STEP):
+                    at = range(lo, min(lo + STEP, len(words) - run + 1))
+                    h = [xxh3_128_digest(f"{host}\0{' '.join(words[i : i + run])}") for i in at]
+                    yield pa.RecordBatch.from_arrays([pa.array([own] * len(at), pa.binary()), pa.array(at, pa.int32()), pa.array(h, pa.binary())], names=["own", "pos", "h"])
+
+    return rows.select("host", "own", "blocks").mapInArrow(each, "own binary, pos int, h binary")
+
+
+def clean_large(rest: DataFrame, run: int = RUN) -> DataFrame:
+    """page_id, url, text of pages of large hosts: what ``without_boilerplate`` gives for the host, by shuffles.
+
+    A window is repeated if its pages are not all one; least and largest page are partial aggregates, so a window
+    that all pages share makes no large task. Equal pages of a host have one key and count once.
+    """
+    rows = rest.withColumn("own", F.unhex(F.md5(F.concat(F.col("host"), F.lit("\n"), F.array_join("blocks", "\n")))))
+    w = windows(rows, run)
+    # two pages of a window are told apart by 64 bits, which hash aggregates hold without a sort
+    page = F.xxhash64("own")
+    repeated = w.groupBy("h").agg(F.min(page).alias("a"), F.max(page).alias("b")).where("a <> b").select("h")
+    hits = w.join(repeated, "h").groupBy("own").agg(F.collect_set("pos").alias("hits"))
+    kind = rest.schema["page_id"].dataType.simpleString()
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for bs, at in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                edge = np.zeros(sum(t.count(" ") + 1 for t in bs) + 1, dtype=np.int64)
+                at = np.array(at or [], dtype=np.int64)
+                edge[at] += 1
+                np.add.at(edge, at + run, -1)
+                texts.append("\n\n".join(what_is_left(bs, np.cumsum(edge[:-1]) > 0, run)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+    return rows.join(hits, "own", "left").select("page_id", "url", "blocks", "hits").mapInArrow(clean, f"page_id {kind}, url string, text string")
 
 
 # ---- the operator -----------------------------------------------------------------------------------
@@ -253,13 +309,17 @@ def extract(pages: DataFrame) -> DataFrame:
     done = cutup.where("marked").select("page_id", "url", F.array_join("blocks", "\n\n").alias("text"))
     rest = cutup.where("not marked").withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"://([^/?#]*)", 1)))
     rest = rest.withColumn("size", F.aggregate("blocks", F.lit(0).cast("long"), lambda s, b: s + F.length(b)))
-    size = rest.groupBy("host").agg(F.ceil(F.sum("size") / GROUP_CHARS).cast("int").alias("groups")).select(F.col("host").alias("g_host"), "groups")
-    dealt = rest.join(size, F.col("host") == F.col("g_host")).withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.greatest("groups", F.lit(1))))
+    over = cut(rest.groupBy("host").agg(F.sum("size").alias("size")).where(F.col("size") > GROUP_CHARS).select("host"))
+    n = over.count()
+    over = F.broadcast(over) if n <= 100_000 else over
+    small = rest.join(over, "host", "left_anti") if n else rest
 
     def clean(t: pd.DataFrame) -> pd.DataFrame:
         left = without_boilerplate([list(b) for b in t["blocks"]])
         return pd.DataFrame({"page_id": t["page_id"], "url": t["url"], "text": ["\n\n".join(x) for x in left]})
 
-    cleaned = dealt.select("host", "part", "page_id", "url", "blocks").groupBy("host", "part").applyInPandas(clean, f"page_id {kind}, url string, text string")
+    cleaned = small.select("host", "page_id", "url", "blocks").groupBy("host").applyInPandas(clean, f"page_id {kind}, url string, text string")
     both = done.union(cleaned)
+    if n:
+        both = both.union(clean_large(rest.join(over, "host", "left_semi")))
     return both.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
