@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from topicloom.llm import html_extract
+from topicloom.llm import html_extract, media
 from topicloom.operators import graph, knn, topics
 from topicloom.plans import catalogue
 from topicloom.plans import model as M
@@ -70,3 +70,18 @@ def test_a_large_host_loses_the_runs_that_a_small_one_loses(spark, monkeypatch):
     monkeypatch.setattr(html_extract, "GROUP_CHARS", 300)
     got = html_extract.extract(df).collect()
     assert len(got) == len(pages) + 2 and {r["page_id"]: r["text"] for r in got} == want
+
+
+def test_landmarks_pair_peaks_and_survive_an_offset():
+    rng = np.random.default_rng(6)
+    words = ["".join(chr(c) for c in rng.integers(97, 123, n)) for n in rng.integers(2, 10, 300)]
+    text = " ".join(rng.choice(words, 4000)).encode()
+    samples = lambda b: np.frombuffer(media.padded(b), dtype=np.uint8)
+    times, codes = media.landmarks(samples(text))
+    bins, power = media.peaks(samples(text))
+    peak = lambda t, b: power[t, b] > (power[t - 1, b] if t else -1) and power[t, b] >= (power[t + 1, b] if t + 1 < len(power) else -1)
+    for t, c in zip(times.tolist(), codes.tolist(), strict=True):
+        dt, ends = c & 255, (c >> 20, c >> 8 & 4095)
+        assert any(bins[t, b] == ends[0] and bins[t + dt, b] == ends[1] and peak(t, b) and peak(t + dt, b) for b in range(len(media.BANDS)))
+    moved = set(media.landmarks(samples(b"z" * 200 + text))[1].tolist())
+    assert len(moved & set(codes.tolist())) > 0.15 * len(set(codes.tolist()))

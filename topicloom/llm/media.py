@@ -2,8 +2,10 @@
 
 A payload of bytes is stored as 8-bit mono samples. Features come from the samples read back: a short-time
 Fourier transform with a Hann window, the strongest bin of each band in each frame, kept where it is a local
-maximum in time, and pairs of such peaks a few frames apart. A pair is the code ``f1 << 20 | f2 << 8 | dt``
-at the time (frame) of its first peak: an array of time-coded landmarks, as in public audio fingerprinting.
+maximum in time, and pairs of such peaks: each with every peak of its band that follows within ``AHEAD`` frames.
+Frames overlap by three quarters, so a passage at another offset still gives part of its pairs. A pair is the code
+``f1 << 20 | f2 << 8 | dt`` at the time (frame) of its first peak: an array of time-coded landmarks, as in public
+audio fingerprinting.
 A payload too short for pairs in time pairs the peaks of each frame (dt 0).
 
 Defined results: a null text counts as empty (64 zero bytes); equal texts give equal values; silence (all
@@ -27,9 +29,10 @@ from topicloom.llm.common import bound_batches
 
 RATE = 8000
 FRAME = 512
-HOP = 512
+HOP = 128
 BANDS = ((2, 32), (32, 96), (96, 257))
-AHEAD = 2
+#: The target zone of a peak, in frames.
+AHEAD = 8
 #: Frames transformed at a time, so a very long payload needs little more than itself.
 BLOCK = 4096
 _WINDOW = np.hanning(FRAME).astype(np.float32)
@@ -84,7 +87,7 @@ def landmarks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     times, codes = [], []
     for dt in range(1, AHEAD + 1):
         for band in range(len(BANDS)):
-            at = np.flatnonzero(top[:-dt, band]) if len(top) > dt else np.zeros(0, np.int64)
+            at = np.flatnonzero(top[:-dt, band] & top[dt:, band]) if len(top) > dt else np.zeros(0, np.int64)
             times.append(at)
             codes.append(bins[at, band] << 20 | bins[at + dt, band] << 8 | dt)
     t, c = np.concatenate(times), np.concatenate(codes)
