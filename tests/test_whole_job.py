@@ -85,3 +85,32 @@ def test_landmarks_pair_peaks_and_survive_an_offset():
         assert any(bins[t, b] == ends[0] and bins[t + dt, b] == ends[1] and peak(t, b) and peak(t + dt, b) for b in range(len(media.BANDS)))
     moved = set(media.landmarks(samples(b"z" * 200 + text))[1].tolist())
     assert len(moved & set(codes.tolist())) > 0.15 * len(set(codes.tolist()))
+
+
+def test_replies_are_parsed_whole(spark, tmp_path):
+    long = "word " * 400
+    cases = {
+        'Sure: {"answers": ["c", "B", "x"]} done': ["C", "B", None, None],
+        long + '{"answers": ["B"]}': ["B", None, None, None],
+        long + "so (C), then B.": ["C", "B", None, None],
+        '{"other": 1} B': ["B", None, None, None],
+        '{"answers": ["B", "C", "B", "C", "B"]}': ["B", "C", "B", "C"],
+        '{"answers": [broken B': ["B", None, None, None],
+        "": [None] * 4,
+        None: [None] * 4,
+    }
+    rows = [(i, 0, "user", x) for i, x in enumerate([*cases, 'B "quoted" {brace} c'])]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: r for r in catalogue.QUERIES["json_answers_parse"](spark, str(tmp_path)).collect()}
+    assert [got[i]["answers"] for i in range(len(cases))] == list(cases.values())
+    assert got[len(cases)]["built"] == ["B", "B", "C", None] and got[7]["built"] == ["B", None, None, None]
+
+
+def test_quotes_are_checked_over_whole_items(spark, tmp_path, monkeypatch):
+    texts = ["few", " ".join(f"word{i}" for i in range(300)), 'It\'s "said" here\nand “there” ' + "x" * 450 + " end", "Größe — " * 90]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = catalogue.QUERIES["quote_check"](spark, str(tmp_path)).collect()
+    assert len(got) == len(texts) and all(r["unverified"] == ["words that nobody wrote"] for r in got)
+    monkeypatch.setattr(catalogue.X, "unverified_quotes", lambda n, s: n)
+    said = {r["item_id"]: r["unverified"] for r in catalogue.QUERIES["quote_check"](spark, str(tmp_path)).collect()}
+    assert all(w in said[1].replace('"', " ").split() for w in texts[1].split()) and said[2].count("x") >= 450

@@ -181,13 +181,18 @@ def event_json(s, d):
 
 @query()
 def json_answers_parse(s, d):
-    raw = t(s, d, "conversations").select("conv_id", "turn", F.concat(F.lit('Sure: {"answers": ["B", "c", "x"]} '), F.substring(F.coalesce("text", F.lit("")), 1, 0)).alias("raw"))
-    return raw.select("conv_id", "turn", X.answers(F.col("raw"), n=F.lit(4)).alias("answers"))
+    """answers: of the whole text; built: of a JSON reply that carries the whole text and its first and last letter."""
+    x = F.coalesce("text", F.lit(""))
+    reply = F.concat(F.lit("Sure: "), F.to_json(F.struct(x.alias("note"), F.array(F.lit("B"), F.substring(x, 1, 1), F.substring(x, -1, 1)).alias("answers"))), F.lit(" as asked."))
+    return t(s, d, "conversations").select("conv_id", "turn", X.answers(F.col("text"), n=F.lit(4)).alias("answers"), X.answers(reply, n=F.lit(4)).alias("built"))
 
 
 @query()
 def quote_check(s, d):
-    b = t(s, d, "benchmark").select("item_id", F.concat(F.lit('It says "'), F.substring("text", 1, 60), F.lit('" and "words that nobody wrote" there, and much else besides that is not in any quotation at all.')).alias("narrative"), F.array("text").alias("sources"))
+    """Narratives quote the whole item, piece by piece (a quotation has 200 characters at most), and words of nobody."""
+    pieces = F.regexp_extract_all("text", F.lit(r'[^"“”\n]{3,199}(?=[\s"“”]|$)|[^"“”\n]{3,200}'), F.lit(0))
+    quoted = F.array_join(F.transform(pieces, lambda p: F.concat(F.lit('"'), p, F.lit('"'))), " and ")
+    b = t(s, d, "benchmark").select("item_id", F.concat(F.lit("It says "), quoted, F.lit(' and "words that nobody wrote" there, and much else besides that is not in any quotation at all.')).alias("narrative"), F.array("text").alias("sources"))
     return b.select("item_id", X.unverified_quotes(F.col("narrative"), F.col("sources")).alias("unverified"))
 
 
