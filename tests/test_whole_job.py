@@ -7,6 +7,7 @@ from topicloom.llm import html_extract, media
 from topicloom.operators import graph, knn, topics
 from topicloom.plans import catalogue
 from topicloom.plans import model as M
+from topicloom.sources import corpus
 
 
 class Seen(Exception):
@@ -114,3 +115,23 @@ def test_quotes_are_checked_over_whole_items(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(catalogue.X, "unverified_quotes", lambda n, s: n)
     said = {r["item_id"]: r["unverified"] for r in catalogue.QUERIES["quote_check"](spark, str(tmp_path)).collect()}
     assert all(w in said[1].replace('"', " ").split() for w in texts[1].split()) and said[2].count("x") >= 450
+
+
+def test_lsa_keeps_every_term(spark):
+    common = [" ".join(f"a{j}" for j in range(i * 50, i * 50 + 100)) for i in range(81)]
+    texts = [c for c in common for _ in range(3)] + ["zebra yak", "zebra yak wolf", "wolf zebra"]  # rarer than 4,000 others
+    v = {r["doc_id"]: np.array(r["v"]) for r in corpus.lsa(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 84).collect()}
+    terms = sorted({w for t in texts for w in t.split()})
+    at, n = {w: i for i, w in enumerate(terms)}, len(texts)
+    x = np.zeros((n, len(terms)))
+    for i, t in enumerate(texts):
+        for w in t.split():
+            x[i, at[w]] = 1
+    x *= np.log((1 + n) / (1 + x.sum(0))) + 1
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    _, _, comp = np.linalg.svd(x, full_matrices=False)
+    want = x @ comp[:84].T
+    want /= np.linalg.norm(want, axis=1, keepdims=True)
+    got = np.stack([v[i] for i in range(n)])
+    assert len(terms) > 4000 and np.allclose(np.linalg.norm(got, axis=1), 1)
+    assert np.allclose(got @ got.T, want @ want.T, atol=1e-6)

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from topicloom.functions import vectors as V
 from topicloom.functions.text import explode_clean, snippet
+from topicloom.session import cut
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
 
@@ -91,45 +92,51 @@ def weighted_stack(frames: Sequence[tuple[DataFrame, float]]) -> DataFrame:
     return out.select("doc_id", V.hstack(*((F.col(f"v{i}"), w) for i, (_, w) in enumerate(frames))).alias("v"))
 
 
-def lsa(docs: DataFrame, dim: int = 50, max_terms: int = 4_000, seed: int = 42) -> DataFrame:
-    """doc_id, v: TF-IDF, truncated SVD of the term Gram matrix (max_terms squared, on the driver), unit rows.
+def lsa(docs: DataFrame, dim: int = 50, seed: int = 42, rounds: int = 6) -> DataFrame:
+    """doc_id, v: TF-IDF over every term of two documents or more, truncated SVD, unit rows.
 
-    The Gram matrix is summed on the executors from sparse rows; the sign of each component is fixed so that
-    its largest entry is positive. Documents without a term are zero vectors.
+    Randomised subspace iteration: each round multiplies a block (terms x (dim + 10), on the driver and sent to
+    the executors) by the Gram matrix, row by row, which is never built. The sign of each component is fixed so
+    that its largest entry is positive. Documents without a term are zero vectors.
     """
     from topicloom.operators.graph import tfidf
 
-    del seed
-    m = tfidf(docs, None, 2, 0.95, max_terms, 1)
-    m = m.select("doc_id", "term", F.round("tfidf", 12).alias("w"))
-    terms = [r["term"] for r in m.select("term").distinct().orderBy("term").collect()]  # at most max_terms
+    spark = docs.sparkSession
+    m = cut(tfidf(docs, None, 2, 1.0, None, 1).select("doc_id", "term", F.round("tfidf", 12).alias("w")))
+    terms = [r["term"] for r in m.select("term").distinct().orderBy("term").collect()]
     if not terms:
         return docs.select("doc_id", F.array(F.lit(0.0)).alias("v"))
-    index = F.broadcast(docs.sparkSession.createDataFrame(list(enumerate(terms)), "i int, term string"))
-    rows = m.join(index, "term").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("x"))
+    index = spark.createDataFrame(list(enumerate(terms)), "i int, term string")
+    rows = cut(m.join(index, "term").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("x")))
     n = len(terms)
-
-    def gram(batches):
-        g, some = np.zeros((n, n)), False
-        for b in batches:
-            for row in b.column(0).to_pylist():
-                i, w = np.array([e["i"] for e in row]), np.array([e["w"] for e in row])
-                g[np.ix_(i, i)] += np.outer(w, w)
-                some = True
-        if some:
-            for k in range(n):
-                at = np.flatnonzero(g[k])
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.int32()), pa.array(at.astype(np.int32)), pa.array(g[k, at])], names=["a", "b", "s"])
-
-    g = np.zeros((n, n))
-    t = rows.select("x").mapInArrow(gram, "a int, b int, s double").groupBy("a", "b").agg(F.sum("s").alias("s")).toArrow()
-    g[t.column("a").to_numpy(), t.column("b").to_numpy()] = t.column("s").to_numpy()
-    val, vec = np.linalg.eigh(g)
     d = max(2, min(dim, n - 1)) if n > 2 else n
-    vec = vec[:, np.argsort(val)[::-1][:d]]
+    arrays = rows.select(F.col("x.i").alias("i"), F.col("x.w").alias("w")).rdd
+
+    def times_gram(q: np.ndarray) -> np.ndarray:
+        sent = spark.sparkContext.broadcast(q)
+
+        def part(it):
+            y = np.zeros_like(sent.value)
+            for row in it:
+                i, w = np.array(row["i"]), np.array(row["w"])
+                y[i] += np.outer(w, w @ sent.value[i])
+            yield y
+
+        out = arrays.mapPartitions(part).treeReduce(np.add)
+        sent.unpersist()
+        return out
+
+    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(n, min(n, d + 10))))[0]
+    for _ in range(rounds):
+        q = np.linalg.qr(times_gram(q))[0]
+    small = q.T @ times_gram(q)
+    val, vec = np.linalg.eigh((small + small.T) / 2)
+    vec = q @ vec[:, np.argsort(val)[::-1][:d]]
     vec = vec * np.sign(vec[np.abs(vec).argmax(0), np.arange(vec.shape[1])])
+    sent_vec = spark.sparkContext.broadcast(vec)
 
     def project(batches):
+        vec = sent_vec.value
         for b in batches:
             out = np.zeros((b.num_rows, vec.shape[1]))
             for k, row in enumerate(b.column(1).to_pylist()):
