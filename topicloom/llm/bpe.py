@@ -18,9 +18,8 @@ import hashlib
 import json
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -31,8 +30,11 @@ from pyspark.sql import DataFrame
 from topicloom.llm.common import bound_batches
 
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries that the memos of a worker hold before they start anew.
-MEMO = 500_000
+#: Bytes (about) that each generation of a worker's memo of stretches holds, and entries of the memo of pairs.
+MEMO_BYTES, MEMO_PAIRS = 28 << 20, 200_000
+#: Characters of a text that are encoded at a time, so a very long text needs little more than itself.
+BLOCK = 1 << 18
+_BORDER = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
 #: A space that belongs to a run of white space in a way that splitting at it would change.
 _RUN = re.compile(r"\s (?=\s|\Z)")
 
@@ -67,15 +69,14 @@ class Backtracker:
         for s, i in self.added.items():
             self.token[i] = s.encode()
         # merge rules: rank of each pair, and how each merged token came about
-        self.rank: dict[tuple[int, int], int] = {}
-        self.merged: dict[tuple[int, int], int] = {}
+        self.rank: dict[int, int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         self.order = [0] * self.size
         for n, m in enumerate(spec["model"]["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ", 1)
             x, y = vocab[raw(a)], vocab[raw(b)]
             z = vocab[raw(a) + raw(b)]
-            self.rank[x, y], self.merged[x, y] = n, z
+            self.rank[x << 32 | y] = n
             self.parts.setdefault(z, (x, y))
             self.order[z] = n + 1
         self.trie = ahocorasick.Automaton()
@@ -92,7 +93,7 @@ class Backtracker:
         self.bytes = b"".join(self.token)
         self.offset = np.concatenate([[0], np.cumsum([len(t) for t in self.token])]).astype(np.int64)
         self.pairs: dict[int, bool] = {}
-        self.memo: dict[str, tuple[int, str, bytes]] = {}
+        self.memo = _Memo(self._chunk)
         self.split = regex.compile(PIECES)
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
@@ -108,7 +109,7 @@ class Backtracker:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the merge rules leave a and b side by side when they meet only each other."""
-        if len(self.pairs) > MEMO:
+        if len(self.pairs) > MEMO_PAIRS:
             self.pairs.clear()
         ok = self.pairs[a << 32 | b] = self._compatible(a, b)
         return ok
@@ -117,7 +118,7 @@ class Backtracker:
         limit = 1 << 60
         left, right = a, b
         while True:
-            n = self.rank.get((left, right))
+            n = self.rank.get(left << 32 | right)
             if n is not None and n + 1 < limit:
                 return False
             # undo the later of the two outer merges and look at the tokens that then touch
@@ -165,37 +166,45 @@ class Backtracker:
                 last = out[-1] if out else -1
                 token = shorter[token]
 
-    def _chunk(self, text: str) -> tuple[int, str, bytes]:
-        """Count, comma-joined decimal ids and packed ids of a stretch that ends at a sure border."""
+    def _chunk(self, text: str) -> bytes:
+        """Packed ids of a stretch that ends at a sure border."""
+        if text < "\u0250" and (text[1:] if text[0] == " " else text).isalpha() and max(text) < "\u0250":
+            return array("I", self.piece(text)).tobytes()  # letters only: one piece
         parts = self.split.findall(text)
-        ids = self.piece(parts[0]) if len(parts) == 1 else [i for p in parts for i in self.piece(p)]
-        return len(ids), ",".join([self.digits[i] for i in ids]), array("I", ids).tobytes()
-
-    def _chunks(self, text: str) -> Iterator[tuple[int, str, bytes]]:
-        memo = self.memo
-        if _RUN.search(text):
-            parts: list[str] = self.split.findall(text)
-        else:
-            first, *rest = text.split(" ")
-            parts = [first] if first else []
-            parts += [" " + r for r in rest]
-        for p in parts:
-            if (got := memo.get(p)) is None:
-                got = self._chunk(p)
-                if len(p) <= 64:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[p] = got
-            yield got
-
-    def chunks(self, text: str) -> Iterator[tuple[int, str, bytes]]:
+        if len(parts) == 1:
+            return array("I", self.piece(parts[0])).tobytes()
+        return b"".join(map(self.memo.__getitem__, parts))
+
+    def plain(self, text: str) -> Iterator[bytes]:
+        """Packed ids of a text without added tokens, block by block; a block ends at a sure border."""
+        at, n = 0, len(text)
+        while at < n:
+            cut = _BORDER.search(text, at + BLOCK) if n - at > BLOCK else None
+            end = cut.start() if cut else n
+            part = text[at:end] if at or end < n else text
+            if _RUN.search(part):
+                parts: list[str] = self.split.findall(part)
+            else:
+                first, *rest = part.split(" ")
+                parts = [first] if first else []
+                parts += [" " + r for r in rest]
+            yield b"".join(map(self.memo.__getitem__, parts))
+            at = end
+
+    def packed(self, text: str | None) -> Iterator[bytes]:
+        """Packed ids (32 bits each) of a text, in blocks."""
+        text = text or ""
         if self.specials is None or not any(a in text for a in self.added):
-            return self._chunks(text)
-        one = lambda i: (1, str(i), np.array([i], dtype=np.uint32).tobytes())
-        return chain.from_iterable([one(self.added[s])] if s in self.added else self._chunks(s) for s in self.specials.split(text) if s)
+            yield from self.plain(text)
+            return
+        for s in self.specials.split(text):
+            if s in self.added:
+                yield array("I", [self.added[s]]).tobytes()
+            elif s:
+                yield from self.plain(s)
 
     def encode(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(b"".join(c[2] for c in self.chunks(text or "")), dtype=np.uint32)
+        return np.frombuffer(b"".join(self.packed(text)), dtype=np.uint32)
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         """Gather the tokens' bytes through the offset table, in blocks that bound memory."""
@@ -211,7 +220,28 @@ class Backtracker:
         return self.decode_bytes(ids).decode("utf-8", errors="replace")
 
 
-@lru_cache(maxsize=2)
+class _Memo(dict):
+    """Packed ids by stretch. Two generations of bounded size: when the young one is full it becomes the old one,
+    and what is met again moves up, so frequent stretches stay and memory is bounded by bytes."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make, self.old, self.size = make, {}, 0
+
+    def __missing__(self, key: str) -> bytes:
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
+        if len(key) <= 64:
+            if self.size > MEMO_BYTES:
+                self.old, self.size = dict(self), 0
+                self.clear()
+            self[key] = got
+            self.size += 190 + len(key) + len(got)
+        return got
+
+
+@lru_cache(maxsize=1)
 def load(path: str) -> Backtracker:
     """One encoder for each worker process and vocabulary."""
     return Backtracker(path)
@@ -225,7 +255,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", keep: t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = load(path)
         for batch in batches:
-            ids = [b.encode(t) for t in batch.column(len(keep)).to_pylist()]
+            ids = [b.encode(t.as_py()) for t in batch.column(len(keep))]
             lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32), pa.array(np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), lists, pa.array([b.decode(i) for i in ids])], names=[*keep, "ids", "decoded"])
 
@@ -246,15 +276,19 @@ def digests(docs: DataFrame, path: str | None = None, text: str = "text") -> Dat
         b = load(path)
         for batch in batches:
             count, one, two, same = [], [], [], []
-            for t in batch.column(1).to_pylist():
-                got = [c for c in b.chunks(t or "") if c[0]]
-                count.append(sum(c[0] for c in got))
-                one.append(hashlib.sha256(",".join([c[1] for c in got]).encode()).hexdigest())
-                back = b.decode_bytes(np.frombuffer(b"".join([c[2] for c in got]), dtype=np.uint32))
-                back = back.decode("utf-8", errors="replace").encode()
-                two.append(hashlib.sha256(back).hexdigest())
-                same.append(back == (t or "").encode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(one), pa.array(two), pa.array(same)], names=names)
+            for t in batch.column(1):
+                t = t.as_py() or ""
+                n, ids, back = 0, hashlib.sha256(), hashlib.sha256()
+                for block in b.packed(t):
+                    own = np.frombuffer(block, dtype=np.uint32)
+                    ids.update(("," if n and len(own) else "").encode() + ",".join(map(b.digits.__getitem__, own.tolist())).encode())
+                    back.update(b.decode(own).encode())
+                    n += len(own)
+                count.append(n)
+                one.append(ids.hexdigest())
+                two.append(back.hexdigest())
+                same.append(back.digest() == hashlib.sha256(t.encode()).digest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string()), pa.array(same, pa.bool_())], names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, exact boolean")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch sent to a Python worker; bounds a worker's memory when texts are long.
-ARROW_ROWS = 512
+#: Rows and bytes of one Arrow batch that is sent to a Python worker: they bound a worker's memory when texts are long.
+ARROW_ROWS, ARROW_BYTES = 512, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound what one Arrow batch holds: a few hundred texts rather than ten thousand."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Bound what one Arrow batch of the session holds: a few hundred texts of 16 MB together rather than ten
+    thousand. It only lowers the session's bounds, so no caller undoes what another needs."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = int(re.sub(r"\D", "", spark.conf.get(key)))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,7 +34,11 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not where:
-        where = sc.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="shared-")
+        where = sc.getCheckpointDir()
+    if not where:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="shared-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(where)
     return where.rstrip("/")

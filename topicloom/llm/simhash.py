@@ -172,7 +172,6 @@ def links(fps: DataFrame, n: int, bits: int = 4) -> DataFrame:
         if size:
             yield from out(np.concatenate(held))
 
-    bound_batches(fps.sparkSession, 10_000)
     return dealt.select("k", "fp", "cell").mapInArrow(run, "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 

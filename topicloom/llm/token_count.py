@@ -46,11 +46,16 @@ def write_files(docs: DataFrame, folder: str, vocabulary: str | None = None, eod
         name = f"tokens-{task.partitionId():06d}.bin"
         part = f"{top}/_{name}.{task.taskAttemptId()}"
         coder, ordinal = load(vocabulary), 0
+        if max(coder.size - 1, eod) > np.iinfo(DTYPE).max:
+            raise ValueError("the vocabulary does not fit the identifiers of the files")
+        narrow = lambda ids: ids.astype(DTYPE).tobytes()
+        end = narrow(np.array([eod]))
         with store.open_output_stream(part) as out:
             for batch in batches:
-                for t in batch.column(1).to_pylist():
-                    out.write(np.frombuffer(b"".join([c[2] for c in coder._chunks(t or "")]), dtype=np.uint32).astype(DTYPE).tobytes())
-                    out.write(np.array([eod], dtype=DTYPE).tobytes())
+                for t in batch.column(1):
+                    for block in coder.plain(t.as_py() or ""):
+                        out.write(narrow(np.frombuffer(block, dtype=np.uint32)))
+                    out.write(end)
                 n = batch.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.arange(ordinal, ordinal + n)), batch.column(0)], names=["file", "ordinal", "doc_id"])
                 ordinal += n
