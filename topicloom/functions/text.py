@@ -18,8 +18,8 @@ def tokens(text: Column, least: int = 2, stop: Iterable[str] | None = None) -> C
     """
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{%d,}" % least), F.lit(0))
     if stop:
-        words = F.array(*(F.lit(w) for w in sorted(stop)))
-        found = F.filter(found, lambda t: ~F.array_contains(words, t))
+        words = sorted(stop)
+        found = F.filter(found, lambda t: ~t.isin(words))  # a hash set, where array_contains would scan
     return found
 
 

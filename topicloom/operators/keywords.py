@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.functions.text import label_key, ngrams, simple_description, simple_label, tokens
+from topicloom.operators.topics import few
 
 
 def term_counts(docs: DataFrame, stop: frozenset[str] | None = None, most: int = 2, weight: str | None = None) -> DataFrame:
@@ -27,11 +28,17 @@ def top_terms(scored: DataFrame, n: int) -> DataFrame:
 
 
 def ctfidf(docs: DataFrame, stop: frozenset[str] | None = None, min_df: int = 2, max_df: float = 0.95, most: int = 2, weight: str | None = None) -> DataFrame:
-    """topic_id, term, score: topic counts over their sum, times ln(n / (1 + df)); n-grams within documents."""
-    counts = term_counts(docs, stop, most, weight)
+    """topic_id, term, score: topic counts over their sum, times ln(n / (1 + df)); n-grams within documents.
+
+    Each row is a document. Counts by topic and by term are partial aggregates of two passes over the texts, so
+    no row for each document and term is shuffled.
+    """
+    extra = [weight] if weight else []
+    grams = docs.select("topic_id", *extra, tokens(F.col("text"), 2, stop).alias("ts")).select("topic_id", *extra, F.explode(ngrams(F.col("ts"), 1, most)).alias("term"))
+    per = grams.groupBy("topic_id", "term").agg((F.sum(weight) if weight else F.count(F.lit(1)).cast("double")).alias("tf"))
     n = F.broadcast(docs.agg(F.count(F.lit(1)).alias("n")))
-    df = counts.groupBy("term").agg(F.countDistinct("doc_id").alias("df")).crossJoin(n).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
-    per = counts.groupBy("topic_id", "term").agg(F.sum("tf").alias("tf")).join(df, "term")
+    df = document_frequency(docs, stop, most).crossJoin(n).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
+    per = per.join(df, "term")
     total = F.sum("tf").over(Window.partitionBy("topic_id"))
     return per.select("topic_id", "term", (F.col("tf") / (total + 1e-10) * F.log(F.col("n") / (1 + F.col("df")))).alias("score"))
 
@@ -56,7 +63,7 @@ def bm25(docs: DataFrame, candidates: DataFrame | None = None, stop: frozenset[s
     per = scored.groupBy("topic_id", "term").agg(F.sum("bm").alias("sum_bm"), F.sum("tf").alias("tf"))
     if candidates is not None:
         per = per.join(candidates.select("topic_id", "term").distinct(), ["topic_id", "term"], "left_semi")
-    per = per.join(whole, "term").join(F.broadcast(size), "topic_id")
+    per = per.join(whole, "term").join(few(size), "topic_id")
     per = per.withColumn("raw", F.col("sum_bm") / F.col("size") / (F.col("mean_all") + 1e-10) * F.log(1 + F.col("tf")))
     top = F.max("raw").over(Window.partitionBy("topic_id"))
     return per.select("topic_id", "term", F.when(top > 0, F.col("raw") / top).otherwise(F.col("raw")).alias("score"))

@@ -100,13 +100,13 @@ def doc_freq_idf(s, d):
 
 
 _TFIDF = TOK + """, n AS (SELECT count(*) AS n FROM d), vc AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term),
-vo AS (SELECT term, ln((1.0 + n) / (1 + df)) + 1 AS idf FROM vc, n WHERE df >= 2 AND df <= 0.95 * n ORDER BY cf DESC, term LIMIT 2000),
+vo AS (SELECT term, ln((1.0 + n) / (1 + df)) + 1 AS idf FROM vc, n WHERE df >= 2 AND df <= 0.95 * n ORDER BY cf DESC, term LIMIT 10000),
 w AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM tf JOIN vo USING (term)), m AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS tfidf FROM w)"""
 
 
 @query(f"WITH {_TFIDF} SELECT doc_id, term, round(tfidf, 6) AS tfidf FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(tfidf, 9) DESC, term) AS r FROM m) WHERE r <= 5")
 def tfidf_top_terms(s, d):
-    m = graph.tfidf(docs(s, d), ENGLISH, max_terms=2_000)
+    m = graph.tfidf(docs(s, d), ENGLISH)
     w = Window.partitionBy("doc_id").orderBy(F.desc(F.round("tfidf", 9)), "term")
     return m.withColumn("r", F.row_number().over(w)).where("r <= 5").select("doc_id", "term", r6(F.col("tfidf")).alias("tfidf"))
 
@@ -247,7 +247,7 @@ lx AS (SELECT a.src, a.dst, (a.sim + b.sim) / 2 AS weight FROM lk a JOIN lk b ON
 
 
 def _lexical(s, d) -> DataFrame:
-    return graph.mutual(graph.lexical_knn(graph.tfidf(docs(s, d), ENGLISH, max_terms=2_000), K))
+    return graph.mutual(graph.lexical_knn(graph.tfidf(docs(s, d), ENGLISH), K))
 
 
 @query(f"WITH {_LEX} SELECT src, dst, round(weight, 5) AS weight FROM lx")
