@@ -257,6 +257,7 @@ def test_stream_keeps_identities(spark, tmp_path):
         df = corpus.from_lists(spark, texts, x).withColumn("doc_id", F.col("doc_id") + n)
         n += len(texts)
         out.append(m.add_batch(df))
+        assert m.labels().count() == n and m.labels().select("doc_id").distinct().count() == n  # after every batch
         ids.append({r["global_id"] for r in m.registry().collect()})
     assert out[0].reclustered and out[0].novelty is None and not out[1].reclustered and out[1].novelty < 0.2
     assert out[2].reclustered and out[2].novelty > 0.2 and ids[0] <= ids[2] and len(ids[2]) > len(ids[0])
@@ -267,6 +268,43 @@ def test_stream_keeps_identities(spark, tmp_path):
     assert m.registry().count() == 2 and {r["topic_id"] for r in m.labels().select("topic_id").distinct().collect()} <= {-1, *(r["global_id"] for r in m.registry().collect())}
 
 
+class Replies:
+    def complete(self, prompt):
+        return '{"label": "A name", "description": "of it"}' if "name of" in prompt else "{}"
+
+
+def test_stream_survives_replay_restart_and_failure(spark, tmp_path, monkeypatch):
+    data, n, frames = synthetic.stream(4, 4, 60, emerging=0, noise_docs=0.0, seed=5), 0, []
+    for texts, x, _ in data:
+        frames.append(corpus.from_lists(spark, texts, x).withColumn("doc_id", F.col("doc_id") + n))
+        n += len(texts)
+    how = (M.Config(n_neighbors=8, n_runs=2, min_size=4), C.StreamConfig(trigger="schedule", every=110))
+    m = C.CumulativeModel(spark, str(tmp_path), *how)
+    first = m.add_batch(frames[0], 0)
+    again = m.add_batch(frames[0], 0)  # a replayed micro-batch
+    assert again == first and m.since == 0 and m.accumulator().count() == 60
+    with monkeypatch.context() as k:  # a step that fails before its commit
+        k.setattr(C.CumulativeModel, "_commit", lambda *a, **b: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            m.add_batch(frames[1], 1)
+    m = C.CumulativeModel(spark, str(tmp_path), *how)  # another process
+    assert m.epoch == 1 and m.since == 0 and m.model.topic_count() == first.n_topics and m.labels().where("doc_id < 60").count() == 60
+    assert not m.add_batch(frames[1], 1).reclustered and m.since == 60 and m.labels().count() == 120
+    assert m.add_batch(frames[2], 2).reclustered and m.epoch == 2 and m.labels().count() == 180
+    assert m.add_batch(frames[3], 3).n_docs == 60 and m.add_batch(frames[3].limit(0), 4).n_docs == 0
+    m = C.CumulativeModel(spark, str(tmp_path), *how)
+    assert [r.batch_id for r in m.results] == [0, 1, 2, 3, 4] and len(m.history) == 2 and m.labels().count() == 240 == m.topic_info().agg(F.sum("size")).first()[0] + m.labels().where("topic_id = -1").count()
+    e = m.evaluate().first()
+    assert e["n_total_docs"] == 240 and e["n_epochs"] == 2 and e["n_global_topics"] == m.registry().count()
+    ids = sorted(r["global_id"] for r in m.registry().collect())
+    assert m.topic(ids[0])["size"] > 0 and m.topic(10**6) is None and m.document_topics(5, 2).count() == 2 and m.overlap().count() >= len(ids)
+    assert m.label(Replies())[0]["label"] == "A name" and m.topic(ids[0])["label"] == "A name" and m.themes(Replies())
+    assert m.bigger_picture(2)["nodes"].count() >= 2
+    m.merge_topics([ids[:2]])
+    m.reduce_outliers(-1.0)
+    assert m.registry().count() == len(ids) - 1 and m.labels().count() == 240 and m.labels().where("topic_id = -1").count() == 0
+
+
 def test_triggers_and_matching():
     c = C.StreamConfig
     assert C.due(c(), False, None, 0) and C.due(c(trigger="manual"), True, 0.9, 999, force=True) and not C.due(c(trigger="manual"), True, 0.9, 999)

@@ -20,15 +20,15 @@ def race_key(seed: int, weight: Column, key: str = "doc_id") -> Column:
     return -F.log(u) / weight
 
 
-def recency_weights(rows: DataFrame, new_count: int, floor: float = 0.2) -> DataFrame:
-    """doc_id, weight: a ramp from floor to 1 over the old rows by arrival (doc_id), 1 for the newest ones.
+def recency_weights(rows: DataFrame, new_count: int, floor: float = 0.25) -> DataFrame:
+    """doc_id, weight: a ramp from floor towards 1 over the old rows by arrival (doc_id), 1 for the newest ones.
 
     Ranks come from counts of ranges of doc_id, not from one global sort.
     """
     n = rows.count()
     old = max(0, n - new_count)
     ranked = dense_rank_by_id(rows)
-    step = F.lit(floor) + F.lit(1 - floor) * (F.col("pos") - 1) / F.lit(float(max(old - 1, 1)))
+    step = F.lit(floor) + F.lit(1 - floor) * (F.col("pos") - 1) / F.lit(float(max(old, 1)))
     return ranked.select("doc_id", F.when(F.col("pos") > old, 1.0).otherwise(step).alias("weight"))
 
 
@@ -82,9 +82,16 @@ def stratified(rows: DataFrame, budget: int, least: int = 5, seed: int = 42) ->
     got = allocate(counts, budget, least)
     plan = F.broadcast(rows.sparkSession.createDataFrame([(k, m, counts[k]) for k, m in got.items()] or [(-2, 0, 1)], "topic_id int, m int, n_c long"))
     j = rows.select("doc_id", F.col("topic_id").cast("int").alias("topic_id")).join(plan, "topic_id").withColumn("key", race_key(seed, F.lit(1.0)))
-    # keys are standard exponential: those of the m smallest of n lie below about -ln(1 - m / n); keep a wide margin
-    share = F.least(F.lit(1.0), (F.col("m") + 6 * F.sqrt(F.col("m")) + 20) / F.col("n_c"))
-    near = j.where((share >= 1.0) | (F.col("key") <= -F.log(1 - share + 1e-300)))
+    # keys are standard exponential: those of the m smallest of n lie below about -ln(1 - m / n). The margin is
+    # widened until every stratum keeps its m rows, so the choice is that of a full sort whatever the draw.
+    margin = 6.0
+    while True:
+        share = F.least(F.lit(1.0), (F.col("m") + margin * F.sqrt(F.col("m")) + 20) / F.col("n_c"))
+        near = j.where((share >= 1.0) | (F.col("key") <= -F.log(1 - share + 1e-300)))
+        held = {r["topic_id"]: r["n"] for r in near.groupBy("topic_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if all(held.get(k, 0) >= m for k, m in got.items()):
+            break
+        margin *= 4
     r = F.row_number().over(Window.partitionBy("topic_id").orderBy("key", "doc_id"))
     return near.withColumn("r", r).where("r <= m").select("doc_id", "topic_id", (F.col("n_c") / F.col("m")).alias("weight"))
 
@@ -92,12 +99,11 @@ def stratified(rows: DataFrame, budget: int, least: int = 5, seed: int = 42) ->
 def micro_clusters(rows: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """doc_id, weight: the document nearest each of k centres, weighted by the centre's members."""
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
 
     x = rows.select("doc_id", F.col("v").cast("array<double>").alias("v"), array_to_vector(F.col("v").cast("array<double>")).alias("features"))
     model = KMeans(k=k, seed=seed, maxIter=20).fit(x)
     c = F.broadcast(rows.sparkSession.createDataFrame([(i, [float(a) for a in m]) for i, m in enumerate(model.clusterCenters())], "prediction int, c array<double>"))
-    del vector_to_array
     d = model.transform(x).join(c, "prediction").select("prediction", "doc_id", F.round(V.euclidean(F.col("v"), F.col("c")), 9).alias("d"))
     return d.groupBy("prediction").agg(F.min(F.struct("d", "doc_id")).alias("b"), F.count(F.lit(1)).cast("double").alias("weight")).select(F.col("b.doc_id").alias("doc_id"), "weight")
 
@@ -125,6 +131,20 @@ def select(rows: DataFrame, size: int, method: str = "stratified", reserve: int
     return out.unionByName(kept.select("doc_id", F.lit(1.0).alias("weight"))) if kept is not None else out
 
 
+def cost_ratio(rows: DataFrame, work: DataFrame, k: int, seed: int = 42) -> float:
+    """Weighted distortion of a working set (doc_id, v, weight) over that of all rows, both against k centres
+    fitted on the working set; near 1 if it stands for the whole."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    x = work.select("doc_id", F.col("v").cast("array<double>").alias("v"), F.col("weight").cast("double").alias("weight"))
+    model = KMeans(k=k, seed=seed, maxIter=20, weightCol="weight").fit(x.withColumn("features", array_to_vector("v")))
+    c = rows.sparkSession.createDataFrame([([float(a) for a in m],) for m in model.clusterCenters()], "c array<double>")
+    whole = distortion(rows.select("doc_id", F.col("v").cast("array<double>").alias("v")), c).first()[0]
+    part = distortion(x, c, "weight").first()[0]
+    return part / whole if whole else 1.0
+
+
 def distortion(rows: DataFrame, centres: DataFrame, weight: str | None = None) -> DataFrame:
     """Weighted sum of squared distances to the nearest centre (centres: column c; checked to be few)."""
     w = F.col(weight) if weight else F.lit(1.0)

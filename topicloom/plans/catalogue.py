@@ -569,7 +569,7 @@ def spearman_check(s, d):
 # ---- reduced sets and streams -------------------------------------------------------------------------------------
 
 
-@query("WITH x AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY vec_id) AS pos, count(*) OVER () - 50 AS old FROM embeddings) SELECT doc_id, round(CASE WHEN pos > old THEN 1.0 ELSE 0.2 + 0.8 * (pos - 1) / greatest(old - 1, 1) END, 6) AS weight FROM x")
+@query("WITH x AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY vec_id) AS pos, count(*) OVER () - 50 AS old FROM embeddings) SELECT doc_id, round(CASE WHEN pos > old THEN 1.0 ELSE 0.25 + 0.75 * (pos - 1) / greatest(old, 1) END, 6) AS weight FROM x")
 def recency_weights(s, d):
     return rounded(coreset.recency_weights(vecs(s, d), 50), "weight")
 

@@ -1,15 +1,19 @@
 """Topics over a stream of batches: cheap assignment, drift, re-clustering, stable identities.
 
 State is written tables below one folder: ``accumulator`` (all documents, one folder a batch), ``registry``
-(global topics, one folder an epoch), ``labels`` and ``batches``. A batch is written under its id, so a
-replayed micro-batch overwrites itself (``foreachBatch`` may replay).
+(global topics, one folder an epoch), ``labels`` (a folder an epoch: ``part=base`` for what the epoch began with
+and one for each batch since), ``models`` (the fitted model of an epoch) and ``state``, a small file for each
+commit. A step writes its tables first and its state last, so a step that failed is done again over the same
+folders, a batch that was committed is not counted twice when it is replayed (``foreachBatch`` may replay), and
+a restarted process goes on from the last commit.
 """
 
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from topicloom.functions import vectors as V
+from topicloom.functions.stopwords import stop_words
 from topicloom.operators import coreset, keywords as kw, metrics, topics
 from topicloom.plans.model import Config, TopicModel
 from topicloom.session import cut
@@ -104,11 +109,45 @@ class CumulativeModel:
     next_id: int = 0
     since: int = 0
     epoch: int = 0
+    local: dict[int, int] = field(default_factory=dict)
     history: list[dict] = field(default_factory=list)
     results: list[BatchResult] = field(default_factory=list)
+    commits: int = 0
+
+    def __post_init__(self) -> None:
+        self._restore()
+
+    # ---- state ---------------------------------------------------------------------------------------
+    def _exists(self, path: str) -> bool:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+
+    def _restore(self) -> None:
+        """Take everything from the last commit; a step that did not commit leaves no trace."""
+        self.next_id = self.since = self.epoch = self.commits = 0
+        self.local, self.history, self.results, model_epoch = {}, [], [], 0
+        if self._exists(f"{self.folder}/state"):
+            rows = self.spark.read.text(f"{self.folder}/state").collect()  # one short row for each batch
+            steps = sorted((json.loads(r["value"]) for r in rows), key=lambda x: x["commit"])
+            for x in steps:
+                self.next_id, self.since, self.epoch, self.commits = x["next_id"], x["since"], x["epoch"], x["commit"] + 1
+                self.local, model_epoch = {int(k): v for k, v in x["local"].items()}, x["model_epoch"]
+                self.history += [x["history"]] if x["history"] else []
+                self.results += [BatchResult(**x["result"])] if x["result"] else []
+        if model_epoch != getattr(self, "_model_epoch", 0):
+            self.model = TopicModel.load(self.spark, f"{self.folder}/models/epoch={model_epoch}") if model_epoch else None
+        self._model_epoch = model_epoch
+
+    def _commit(self, result: BatchResult | None = None, history: dict | None = None) -> None:
+        state = {"commit": self.commits, "epoch": self.epoch, "since": self.since, "next_id": self.next_id, "model_epoch": self._model_epoch, "local": self.local, "history": history, "result": asdict(result) if result else None}
+        self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/state/commit={self.commits}")
+        self.commits += 1
+        self.history += [history] if history else []
+        self.results += [result] if result else []
 
     # ---- tables --------------------------------------------------------------------------------------
     def accumulator(self) -> DataFrame:
+        """The documents of every batch, that of a batch under way included."""
         return self.spark.read.parquet(f"{self.folder}/accumulator")
 
     def registry(self) -> DataFrame:
@@ -118,32 +157,58 @@ class CumulativeModel:
 
     def labels(self) -> DataFrame:
         """doc_id, topic_id (global) of every document so far."""
-        return self.spark.read.parquet(f"{self.folder}/labels")
+        if not self.epoch:
+            return self.spark.createDataFrame([], "doc_id long, topic_id int")
+        return self.spark.read.parquet(f"{self.folder}/labels/epoch={self.epoch}").select("doc_id", "topic_id")
+
+    def _centroids(self) -> DataFrame:
+        return self.registry().select(F.col("global_id").alias("topic_id"), "centroid")
+
+    def _labelled(self) -> DataFrame:
+        return self.accumulator().select("doc_id", "text", "v").join(self.labels(), "doc_id")
 
     # ---- batches ---------------------------------------------------------------------------------------
     def add_batch(self, docs: DataFrame, batch_id: int | None = None, force: bool = False) -> BatchResult:
-        """docs: doc_id, text, v (and metadata). Assign, append, re-cluster if due."""
-        batch_id = len(self.results) if batch_id is None else batch_id
+        """docs: doc_id, text, v (and metadata). Assign, append, re-cluster if due.
+
+        A batch that was committed under the same id gives its recorded result and changes nothing.
+        """
+        self._restore()
+        batch_id = max((r.batch_id for r in self.results), default=-1) + 1 if batch_id is None else batch_id
+        done = next((r for r in self.results if r.batch_id == batch_id), None)
+        if done:
+            return done
+        began = time.monotonic()
         docs = docs.withColumn("v", F.col("v").cast("array<double>"))
+        docs.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{self.folder}/accumulator/batch={batch_id}")
+        docs = self.spark.read.parquet(f"{self.folder}/accumulator/batch={batch_id}").drop("batch_id")
         n = docs.count()
         if not n:
-            return BatchResult(batch_id, 0, None, False, self.registry().count())
-        docs.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{self.folder}/accumulator/batch={batch_id}")
-        novelty = None
+            out = BatchResult(batch_id, 0, None, False, self.registry().count())
+            self._commit(out)
+            return out
+        novelty, history = None, None
         if self.epoch:
-            got = cut(topics.assign(docs, self.registry().select(F.col("global_id").alias("topic_id"), "centroid"), self.config.threshold))
-            novelty = got.agg(F.avg((F.col("topic_id") == -1).cast("double"))).first()[0]
-            got.select("doc_id", "topic_id").write.mode("overwrite").parquet(f"{self.folder}/labels/batch={batch_id}")
+            part = f"{self.folder}/labels/epoch={self.epoch}/part=batch-{batch_id}"
+            topics.assign(docs, self._centroids(), self.config.threshold).select("doc_id", "topic_id").write.mode("overwrite").parquet(part)
+            novelty = self.spark.read.parquet(part).agg(F.avg((F.col("topic_id") == -1).cast("double"))).first()[0]
         self.since += n
         again = due(self.config, bool(self.epoch), novelty, self.since, force)
         if again:
-            self._recluster(docs, novelty)
-        out = BatchResult(batch_id, n, novelty, again, self.registry().count())
-        self.results.append(out)
+            history = self._recluster(docs, novelty)
+        out = BatchResult(batch_id, n, novelty, again, self.registry().count(), time.monotonic() - began)
+        self._commit(out, history)
         return out
 
     def recluster(self) -> None:
-        self._recluster(None, None)
+        self._restore()
+        self._commit(history=self._recluster(None, None))
+
+    def _next_epoch(self, labels: DataFrame, registry: list) -> None:
+        """Write the tables of a new epoch; it counts from the commit on."""
+        labels.select("doc_id", F.col("topic_id").cast("int").alias("topic_id")).write.mode("overwrite").parquet(f"{self.folder}/labels/epoch={self.epoch + 1}/part=base")
+        self.spark.createDataFrame(registry, REGISTRY).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/registry/epoch={self.epoch + 1}")
+        self.epoch += 1
 
     def _working_set(self, batch: DataFrame | None) -> tuple[DataFrame, bool]:
         """doc_id, text, v (and weight), and whether it is the whole accumulator."""
@@ -156,18 +221,19 @@ class CumulativeModel:
         n = acc.count()
         if how == "global_refit" and n <= self.config.cap or n <= self.config.coreset_size:
             return acc, True
-        known = self.labels() if self.epoch else acc.select("doc_id", F.lit(-1).alias("topic_id"))
-        rows = acc.select("doc_id", "v").join(known.select("doc_id", "topic_id"), "doc_id")
+        known = self.labels()
+        rows = acc.select("doc_id", "v").join(known, "doc_id", "left").withColumn("topic_id", F.coalesce("topic_id", F.lit(-1)))
         size = self.config.cap if how == "global_refit" else self.config.coreset_size
         chosen = coreset.select(rows, size, self.config.coreset_method, int(self.config.reserve * size), min(self.since, size // 2))
         return acc.join(chosen, "doc_id"), False
 
-    def _recluster(self, batch: DataFrame | None, novelty: float | None) -> None:
+    def _recluster(self, batch: DataFrame | None, novelty: float | None) -> dict:
+        """Cluster the working set, align its topics with the registry, write the next epoch; returns its history."""
         work, whole = self._working_set(batch)
         work = cut(work)
-        self.model = TopicModel(self.base).fit(work, weight="weight" if "weight" in work.columns else None)
-        words = self.model.keywords().groupBy("topic_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("keywords"))
-        new = self.model.centroids().join(self.model.sizes().select("topic_id", "mass"), "topic_id").join(words, "topic_id", "left").orderBy("topic_id").collect()  # topics are few
+        model = TopicModel(self.base).fit(work, weight="weight" if "weight" in work.columns else None)
+        words = model.keywords().groupBy("topic_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("keywords"))
+        new = model.centroids().join(model.sizes().select("topic_id", "mass"), "topic_id").join(words, "topic_id", "left").orderBy("topic_id").collect()  # topics are few
         known = self.registry().orderBy("global_id").collect()
         to = self._align(new, known)
         arrivals = [(to[i], [float(x) for x in r["centroid"]], float(r["mass"]), list(r["keywords"] or []), None) for i, r in enumerate(new)]
@@ -176,21 +242,21 @@ class CumulativeModel:
         else:
             labels = {k["global_id"]: k["label"] for k in known}
             rows = [(g, c, m, k, labels.get(g)) for g, c, m, k, _ in self._one_each(arrivals)]
-        self.epoch += 1
-        self.spark.createDataFrame(rows, REGISTRY).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/registry/epoch={self.epoch}")
-        local = {r["topic_id"]: to[i] for i, r in enumerate(new)}
+        self.local = {r["topic_id"]: to[i] for i, r in enumerate(new)}
         if whole:
-            lab = self._to_global(self.model.state.select("doc_id", "topic_id"), local)
+            lab = self._to_global(model.state.select("doc_id", "topic_id"), self.local)
         else:
-            lab = topics.assign(self.accumulator(), self.registry().select(F.col("global_id").alias("topic_id"), "centroid"), self.config.threshold).select("doc_id", "topic_id")
-        at = cut(lab)
-        at.write.mode("overwrite").parquet(f"{self.folder}/labels")
-        self.history.append({"epoch": self.epoch, "n_docs": self.accumulator().count(), "n_work": work.count(), "n_topics": len(rows), "novelty": novelty, "new": sum(g is None for g in self._matched)})
+            cents = self.spark.createDataFrame([(g, c) for g, c, *_ in rows], "topic_id int, centroid array<double>")
+            lab = topics.assign(self.accumulator(), cents, self.config.threshold)
+        self._next_epoch(lab, rows)
+        model.save(f"{self.folder}/models/epoch={self.epoch}")
+        self.model, self._model_epoch = model, self.epoch
         self.since = 0
+        return {"epoch": self.epoch, "n_docs": self.accumulator().count(), "n_work": work.count(), "n_topics": len(rows), "novelty": novelty, "new": sum(g is None for g in self._matched)}
 
     def _to_global(self, labels: DataFrame, local: dict[int, int]) -> DataFrame:
         """Local to global ids; one that is missing is an outlier."""
-        m = F.broadcast(self.spark.createDataFrame(list(local.items()) or [(-(10**6), -1)], "topic_id int, g int"))
+        m = topics.few(self.spark.createDataFrame(list(local.items()), "topic_id int, g int"))
         return labels.join(m, "topic_id", "left").select("doc_id", F.coalesce("g", F.lit(-1)).alias("topic_id"))
 
     def _align(self, new: list, known: list) -> list[int]:
@@ -239,35 +305,116 @@ class CumulativeModel:
         labels = {k["global_id"]: k["label"] for k in known}
         return [(r["global_id"], list(r["centroid"]), r["mass"], words.get(r["global_id"], []), labels.get(r["global_id"])) for r in merge_registry(old, new).collect()]
 
-    # ---- delegations --------------------------------------------------------------------------------------
+    # ---- what the model and the registry say ---------------------------------------------------------------
     def transform(self, docs: DataFrame) -> DataFrame:
-        return topics.assign(docs, self.registry().select(F.col("global_id").alias("topic_id"), "centroid"), self.config.threshold)
+        return topics.assign(docs, self._centroids(), self.config.threshold)
+
+    def transform_proba(self, docs: DataFrame) -> DataFrame:
+        """doc_id, topic_id (global), prob of documents with vectors."""
+        return topics.probabilities(docs.select("doc_id", F.col("v").cast("array<double>").alias("v")), self._centroids())
 
     def topic_info(self) -> DataFrame:
         """The registry with current sizes; outliers are no row."""
         size = self.labels().groupBy("topic_id").agg(F.count(F.lit(1)).alias("size"))
         return self.registry().join(size.withColumnRenamed("topic_id", "global_id"), "global_id", "left").select("global_id", F.coalesce("size", F.lit(0)).alias("size"), "mass", "keywords", F.coalesce("label", F.concat(F.lit("Topic "), F.col("global_id").cast("string"))).alias("label"))
 
-    def representatives(self, n: int = 3) -> DataFrame:
-        rows = self.accumulator().select("doc_id", "v").join(self.labels(), "doc_id").where("topic_id <> -1")
-        return topics.representatives(rows, n)
+    def topic(self, global_id: int) -> dict | None:
+        """One topic of the registry, or None."""
+        row = self.topic_info().where(F.col("global_id") == global_id).first()
+        return row.asDict() if row else None
+
+    def representatives(self, n: int = 3, global_id: int | None = None) -> DataFrame:
+        rows = self._labelled().where("topic_id <> -1")
+        return topics.representatives(rows if global_id is None else rows.where(F.col("topic_id") == global_id), n)
 
     def keywords(self, n: int = 10) -> DataFrame:
-        docs = self.accumulator().select("doc_id", "text").join(self.labels(), "doc_id")
-        return kw.top_terms(kw.ctfidf(docs), n)
+        return kw.top_terms(kw.ctfidf(self._labelled().select("doc_id", "text", "topic_id"), stop_words(self.base.language)), n)
+
+    def document_topics(self, doc_id: int, n: int = 3) -> DataFrame:
+        """The n likeliest topics of one document, with probabilities."""
+        return topics.top_topics(self.transform_proba(self.accumulator().where(F.col("doc_id") == doc_id)), n)
+
+    def overlap(self, threshold: float = 0.1) -> DataFrame:
+        return topics.overlap(self.transform_proba(self.accumulator()), threshold)
+
+    def evaluate(self) -> DataFrame:
+        """One row: the summary of all documents by global topic, and the bookkeeping of the stream."""
+        rows = self._labelled().select("doc_id", "text", "topic_id")
+        words = cut(self.keywords(self.base.n_keywords).where("topic_id <> -1").select("topic_id", "term", "rank"))
+        out = metrics.evaluation_summary(rows.select("doc_id", "topic_id"), metrics.coherence(rows, words), words, self.model.partitions if self.model else None)
+        return out.withColumns({"n_total_docs": F.lit(rows.count()), "n_epochs": F.lit(self.epoch), "n_global_topics": F.lit(self.registry().count())})
+
+    def bigger_picture(self, levels: int = 3, client: object | None = None) -> dict:
+        """The hierarchy (nodes, members) of the current model, and themes if a client is given."""
+        if self.model is None:
+            raise RuntimeError("no batch was added yet")
+        nodes, members = self.model.hierarchy(levels)
+        if client is not None:
+            self.label(client)
+        return {"nodes": nodes, "members": members, "themes": self.themes(client) if client is not None else None}
+
+    def _described(self, examples: int = 5) -> list[dict]:
+        """Topics as the guided operators take them; topics are few, and so are their examples."""
+        shown: dict[int, list[str]] = {}
+        for r in self.representatives(examples).join(self.accumulator().select("doc_id", "text"), "doc_id").orderBy("topic_id", "rank").collect():
+            shown.setdefault(r["topic_id"], []).append(r["text"])
+        return [{"topic_id": r["global_id"], "size": r["size"], "label": r["label"], "keywords": list(r["keywords"] or []), "examples": shown.get(r["global_id"], [])} for r in self.topic_info().orderBy("global_id").collect()]
+
+    def label(self, client: object, style: str = "short") -> list[dict]:
+        """Labels of all topics, kept in the registry."""
+        from topicloom.operators.guided import label_topics
+
+        named = label_topics(client, self._described(), style)
+        self.set_labels({d["topic_id"]: d["label"] for d in named})
+        return named
+
+    def themes(self, client: object) -> list[dict]:
+        from topicloom.operators.guided import themes
+
+        return themes(client, self._described())
+
+    # ---- changes; each is an epoch of its own, so labels and registry change together ---------------------
+    def set_labels(self, labels: dict[int, str]) -> None:
+        self._restore()
+        rows = [(r["global_id"], list(r["centroid"]), r["mass"], list(r["keywords"] or []), labels.get(r["global_id"], r["label"])) for r in self.registry().collect()]
+        self._next_epoch(self.labels(), rows)
+        self._commit()
+
+    def _remap(self, to: dict[int, int]) -> None:
+        known = self.registry().collect()
+        labels = {k["global_id"]: k["label"] for k in known}
+        words = {k["global_id"]: list(k["keywords"] or []) for k in known}
+        rows = self._one_each([(to.get(k["global_id"], k["global_id"]), list(k["centroid"]), k["mass"], list(k["keywords"] or []), None) for k in known])
+        self.local = {k: to.get(g, g) for k, g in self.local.items()}
+        self._next_epoch(topics.relabel(self.labels(), to), [(g, c, m, words.get(g, k), labels.get(g)) for g, c, m, k, _ in rows])
+        self._commit()
 
     def reduce_topics(self, n: int) -> None:
-        """Merge registry topics; labels and registry are rewritten together, so nothing is left stale."""
-        lab = self.labels()
-        reg = self.registry().select(F.col("global_id").alias("topic_id"), "centroid")
-        to = topics.reduction_map(reg, lab.groupBy("topic_id").agg(F.count(F.lit(1)).alias("size")), n)
+        """Merge registry topics until n are left."""
+        self._restore()
+        size = self.labels().groupBy("topic_id").agg(F.count(F.lit(1)).alias("size"))
+        self._remap(topics.reduction_map(self._centroids(), size, n))
+
+    def merge_topics(self, groups: list[list[int]]) -> None:
+        """Each group of global ids becomes its largest topic."""
+        self._restore()
+        size = self.labels().where("topic_id <> -1").groupBy("topic_id").agg(F.count(F.lit(1)).alias("size"))
+        self._remap(topics.merge_map(size, groups))
+
+    def guided_merge(self, client: object, instruction: str = "") -> list[list[int]]:
+        from topicloom.operators.guided import merge_groups
+
+        groups = merge_groups(client, self._described(), instruction)
+        self.merge_topics(groups)
+        return groups
+
+    def reduce_outliers(self, threshold: float = 0.3) -> None:
+        """Outliers whose nearest registered topic is near enough join it."""
+        self._restore()
+        new = topics.reduce_outliers(self._labelled().select("doc_id", "v", "topic_id"), self._centroids(), threshold)
         known = self.registry().collect()
-        rows = self._one_each([(to.get(k["global_id"], k["global_id"]), list(k["centroid"]), k["mass"], list(k["keywords"] or []), None) for k in known])
-        labels = {k["global_id"]: k["label"] for k in known}
-        new = cut(topics.relabel(lab.select("doc_id", "topic_id"), to))
-        new.write.mode("overwrite").parquet(f"{self.folder}/labels")
-        self.epoch += 1
-        self.spark.createDataFrame([(g, c, m, k, labels.get(g)) for g, c, m, k, _ in rows], REGISTRY).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/registry/epoch={self.epoch}")
+        self._next_epoch(new, [(k["global_id"], list(k["centroid"]), k["mass"], list(k["keywords"] or []), k["label"]) for k in known])
+        self._commit()
 
     def epochs(self) -> DataFrame:
         return self.spark.createDataFrame([json.loads(json.dumps(h)) | {"novelty": h["novelty"] if h["novelty"] is not None else float("nan")} for h in self.history]) if self.history else self.spark.createDataFrame([], "epoch long")
@@ -276,8 +423,7 @@ class CumulativeModel:
         """Run add_batch over the micro-batches of a streaming DataFrame doc_id, text, v."""
 
         def each(df: DataFrame, batch_id: int) -> None:
-            if not df.isEmpty():
-                self.add_batch(df, batch_id)
+            self.add_batch(df, batch_id)
 
         return source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
