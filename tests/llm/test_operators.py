@@ -251,6 +251,85 @@ def test_mix(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def brute_targets(sizes, weights, total):
+    """Water-filling by bisection on the common rate: min(rate * weight, 2 * size) sums up to the total."""
+    lo, hi = 0.0, 1e12
+    for _ in range(300):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(mid * w, 2 * s) for s, w in zip(sizes, weights, strict=True)) < total else (lo, mid)
+    return [min(hi * w, 2 * s) for s, w in zip(sizes, weights, strict=True)]
+
+
+def test_flow_against_all_integer_plans():
+    from itertools import product
+
+    rng = random.Random(8)
+    for _ in range(60):
+        n, m = rng.randint(1, 3), rng.randint(1, 3)
+        supply, quota = [rng.randint(0, 3) for _ in range(n)], [rng.randint(0, 5) for _ in range(m)]
+        allowed = [sorted(rng.sample(range(m), rng.randint(0, m))) for _ in range(n)]
+        # every split of what each pattern may send over its sources
+        splits = [[x for x in product(*([range(2 * s + 1)] * len(a))) if sum(x) <= 2 * s] for s, a in zip(supply, allowed, strict=True)]
+        best = None
+        for plan in product(*splits):
+            into = [0] * m
+            for a, x in zip(allowed, plan, strict=True):
+                for q, y in zip(a, x, strict=True):
+                    into[q] += y
+            if all(i <= q for i, q in zip(into, quota, strict=True)):
+                cost = sum(sum(x) + 2 * max(0, sum(x) - s) for s, x in zip(supply, plan, strict=True))
+                best = min(best, (-sum(into), cost)) if best else (-sum(into), cost)
+        flow = mixing.min_cost_flow(supply, allowed, quota)
+        assert (-sum(flow), sum(f + 2 * max(0, f - s) for f, s in zip(flow, supply, strict=True))) == best
+
+
+def test_flow_over_many_patterns():
+    import time
+
+    rng = random.Random(1)
+    supply = [rng.randint(1, 1000) for _ in range(20_000)]
+    allowed = [rng.sample(range(14), rng.randint(1, 5)) for _ in supply]
+    began = time.process_time()
+    flow = mixing.min_cost_flow(supply, allowed, [sum(supply) // 10] * 14)
+    assert sum(flow) == 14 * (sum(supply) // 10) and time.process_time() - began < 60
+
+
+def test_mix_of_overlapping_sources_and_shared_ids(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    data = [(i if i % 3 else None, " ".join(["w"] * rng.randint(0, 9)), [["a"], ["b"], ["a", "b"], ["b", None], None, []][i % 6]) for i in range(900)]
+    data += [(7, "w w w", ["a"])] * 90
+    docs = spark.createDataFrame(data, "doc_id long, text string, in_ array<string>")
+    got = mixing.mix(docs, sources=F.col("in_")).collect()
+    again = mixing.mix(docs.repartition(7), sources=F.col("in_")).collect()
+    tell = lambda rs: Counter((r["doc_id"], tuple(r["members"]), r["size"], r["taken"]) for r in rs)
+    assert tell(got) == tell(again) and len(got) == len(data)
+    size = Counter()
+    for _, t, m in data:
+        for x in [None] if m is None else m:
+            size[x] += len(t.split())
+    names = ["a", "b", None]
+    want = brute_targets([size[x] for x in names], [5, 2, 1], 1.5 * sum(len(t.split()) for _, t, _ in data))
+    taken = Counter()
+    for r in got:
+        assert r["taken"] % max(r["size"], 1) == 0 and r["taken"] <= 2 * r["size"] and (r["members"] or r["taken"] == 0 == r["target"])
+        taken[tuple(r["members"])] += r["taken"]
+    for x, w in zip(names, want, strict=True):
+        assert next(r["target"] for r in got if r["members"] and r["members"][0] == x) == pytest.approx(w, rel=1e-6)
+    # all quotas together are met as far as the patterns allow, within a document for each pattern
+    assert sum(taken.values()) <= sum(want) + 3 and sum(taken.values()) >= min(sum(want), 2 * sum(taken[m] and sum(r["size"] for r in got if tuple(r["members"]) == m) for m in taken)) - 9 * len(taken)
+
+
+def test_rows_without_ids_are_taken_one_by_one(spark):
+    data = [(None, "w " * (i % 7 + 1), "s" + str(i % 2)) for i in range(400)]
+    got = mixing.mix(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()
+    for s in ("s0", "s1"):
+        own = [r for r in got if r["members"][0] == s]
+        target = own[0]["target"]
+        assert abs(sum(r["taken"] for r in own) - target) <= 7 and target == pytest.approx(brute_targets([sum(r["size"] for r in got if r["members"][0] == x) for x in ("s0", "s1")], [5, 2], 1.5 * sum(r["size"] for r in got))[s == "s1"])
+
+
 # ---- 7: media -----------------------------------------------------------------------------------------------
 
 
