@@ -6,8 +6,8 @@ its article (``article``, else ``main``), that part is the text, and nothing els
 repeat across pages, so repetition there is no sign of boilerplate.
 
 Pages without such a part go through host suffix arrays: the token streams of pages of a host are put in one
-string, the suffixes are ranked by prefix doubling, and long substrings that occur in several distinct pages
-are boilerplate; the blocks they cover go and the unique runs stay. For a host too large for one task the same
+string, its suffix array and the lengths that neighbours share are built by prefix doubling, and maximal repeats of
+``RUN`` tokens or more in distinct pages are boilerplate; the blocks they cover go and the unique runs stay. For a host too large for one task the same
 runs are found over the whole host by a shuffle on hashes of windows of ``RUN`` tokens.
 
 Defined results: null and empty html give the empty text; unclosed elements end with their parent or the page;
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,12 +45,14 @@ _WORDS = (
 CLASSES = frozenset(_WORDS.split())
 #: Only containers are judged by their class: a word in a paragraph's class says less.
 CONTAINER = frozenset("div section ul ol dl table span p aside".split())
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A quotation mark counts after an equals sign only, and what the page's end leaves open ends there, as in public
+#: parsers of HTML; so every match moves on and nothing is read twice.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+)*+)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _PART = re.compile(r"[^a-zA-Z0-9]+")
 _P_ENDS = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-#: Tokens that a repeated run has at least, and distinct pages that it is found in.
-RUN, PAGES = 8, 2
+#: Tokens that a run has at least that two distinct pages repeat.
+RUN = 8
 #: Characters of a host's blocks up to which one task takes the host; larger ones are shuffled by windows.
 GROUP_CHARS = 2_000_000
 #: Windows in one batch of rows.
@@ -79,6 +82,7 @@ def blocks(page: str | None) -> tuple[list[str], bool]:
     everything: list[str] = []
     parts: dict[str, list[str]] = {"article": [], "main": []}
     stack: list[tuple[str, bool]] = []  # element and whether it is dropped
+    opened: Counter[str] = Counter()
     dropped, inside = 0, {"article": 0, "main": 0}
     seen = {"article": False, "main": False}
     text: list[str] = []
@@ -96,6 +100,7 @@ def blocks(page: str | None) -> tuple[list[str], bool]:
     def pop() -> None:
         nonlocal dropped
         tag, out = stack.pop()
+        opened[tag] -= 1
         dropped -= out
         if tag in inside and not out:
             inside[tag] -= 1
@@ -123,7 +128,7 @@ def blocks(page: str | None) -> tuple[list[str], bool]:
         else:
             flush()
         if m.group(1):
-            if any(t == tag for t, _ in stack[::-1]):
+            if opened[tag] > 0:
                 flush()
                 while stack and stack[-1][0] != tag:
                     pop()
@@ -140,7 +145,7 @@ def blocks(page: str | None) -> tuple[list[str], bool]:
             close = page.find(">", end)
             at = n if close < 0 else close + 1
             continue
-        if tag in _P_ENDS:
+        if tag in _P_ENDS and opened["p"] > 0:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == "p":
                     while len(stack) > k:
@@ -156,6 +161,7 @@ def blocks(page: str | None) -> tuple[list[str], bool]:
         if out:
             flush()
         stack.append((tag, out))
+        opened[tag] += 1
         dropped += out
         if tag in inside and not out and not dropped:
             inside[tag] += 1
@@ -173,59 +179,89 @@ def blocks(page: str | None) -> tuple[list[str], bool]:
 # ---- suffix arrays of a host ------------------------------------------------------------------------
 
 
-def suffix_ranks(tokens: np.ndarray, length: int) -> tuple[np.ndarray, int]:
-    """Rank of each suffix by its first tokens (at least length of them, by prefix doubling), and how many."""
+def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of a token string in order, and for each the length that it shares with the one before it.
+
+    Prefix doubling until all ranks differ; the ranks of every doubling are kept, so a shared length is found by
+    going down the powers of two, for all neighbours at once.
+    """
+    n = len(tokens)
     _, rank = np.unique(tokens, return_inverse=True)
-    n, k = len(tokens), 1
-    while k < length:
+    levels, k = [rank.astype(np.int64)], 1
+    order = np.argsort(rank, kind="stable")
+    while k < n and levels[-1].max() < n - 1:
+        last = levels[-1]
         nxt = np.full(n, -1, dtype=np.int64)
-        nxt[: n - k] = rank[k:] if k < n else nxt[:0]
-        order = np.lexsort((nxt, rank))
-        new = np.concatenate([[False], (rank[order[1:]] != rank[order[:-1]]) | (nxt[order[1:]] != nxt[order[:-1]])])
+        nxt[: n - k] = last[k:]
+        order = np.lexsort((nxt, last))
+        new = np.concatenate([[False], (last[order[1:]] != last[order[:-1]]) | (nxt[order[1:]] != nxt[order[:-1]])])
         rank = np.empty(n, dtype=np.int64)
         rank[order] = np.cumsum(new)
+        levels.append(rank)
         k *= 2
-    return rank, k
-
-
-def covered(tokens: np.ndarray, page: np.ndarray, run: int = RUN, pages: int = PAGES) -> np.ndarray:
-    """Tokens that lie in a run (of run tokens or more) that occurs in several distinct pages."""
-    n = len(tokens)
-    if not n:
+    shared = np.zeros(n, dtype=np.int64)
+    a, b = order[:-1].copy(), order[1:].copy()
+    for i in range(len(levels) - 1, -1, -1):
+        ok = (a < n) & (b < n)
+        ok[ok] = levels[i][a[ok]] == levels[i][b[ok]]
+        # a rank of a doubling past the end of the string stands for a shorter prefix, which no other suffix has
+        step = ok.astype(np.int64) << i
+        shared[1:] += step
+        a, b = a + step, b + step
+    return order, shared
+
+
+def _before(shared: np.ndarray, page: np.ndarray) -> np.ndarray:
+    """For each suffix (in order) the longest prefix that it shares with an earlier one of another page."""
+    n = len(page)
+    part = np.cumsum(np.concatenate([[0], page[1:] != page[:-1]]))  # stretches of suffixes of one page
+    far = np.int64(n + 1)
+    return np.minimum.accumulate(shared - part * far) + part * far  # the least shared length since the stretch began
+
+
+def covered(tokens: np.ndarray, page: np.ndarray, run: int = RUN) -> np.ndarray:
+    """Tokens that lie in a run (of run tokens or more) that occurs in two distinct pages.
+
+    The pages' token streams are one string with a separator of its own after each page, so no run crosses pages.
+    Every suffix gets its longest match with a suffix of another page: the maximal repeats, whatever their length.
+    """
+    if not len(tokens):
         return np.zeros(0, dtype=bool)
-    rank, k = suffix_ranks(tokens, run)
-    inside = np.zeros(n, dtype=bool)
-    inside[: max(0, n - k + 1)] = page[: max(0, n - k + 1)] == page[k - 1 :]
-    pairs = np.unique(np.stack([rank[inside], page[inside]], 1), axis=0)
-    counts = np.bincount(pairs[:, 0], minlength=n) if len(pairs) else np.zeros(n, dtype=np.int64)
-    start = inside & (counts[rank] >= pages)
-    edge = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(edge, np.flatnonzero(start), 1)
-    np.add.at(edge, np.flatnonzero(start) + k, -1)
-    return np.cumsum(edge[:-1]) > 0
-
-
-def without_boilerplate(pages_blocks: list[list[str]], run: int = RUN, pages: int = PAGES) -> list[list[str]]:
+    ends = np.flatnonzero(page[1:] != page[:-1]) + 1
+    string = np.insert(tokens.astype(np.int64), ends, tokens.max() + 1 + np.arange(len(ends)))
+    whose = np.insert(page.astype(np.int64), ends, page.min() - 1 - np.arange(len(ends)))
+    n = len(string)
+    order, shared = suffix_array(string)
+    up = _before(shared, whose[order])
+    down = _before(np.concatenate([[0], shared[:0:-1]]), whose[order][::-1])[::-1]
+    match = np.empty(n, dtype=np.int64)
+    match[order] = np.maximum(up, down)
+    edge, at = np.zeros(n + 1, dtype=np.int64), np.flatnonzero(match >= run)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + match[at], -1)
+    return np.delete(np.cumsum(edge[:-1]) > 0, ends + np.arange(len(ends)))
+
+
+def without_boilerplate(pages_blocks: list[list[str]], run: int = RUN) -> list[list[str]]:
     """The blocks (or their unique runs) that are left of each page of a host. Equal pages count once.
 
     A run may span blocks; of a block that it covers in part it takes only ``run`` words or more.
     """
     stream, page = [], []
     number: dict[str, int] = {}
-    who: dict[str, int] = {}
-    for p, bs in enumerate(pages_blocks):
-        own = who.setdefault("\n".join(bs), p)
+    unlike = {"\n".join(bs): bs for bs in pages_blocks}
+    for p, bs in enumerate(unlike.values()):
         for text in bs:
             for w in text.split(" "):
                 stream.append(number.setdefault(w, len(number)))
-                page.append(own)
-    hit = covered(np.array(stream, dtype=np.int64), np.array(page, dtype=np.int64), run, pages)
-    at, left = 0, []
-    for bs in pages_blocks:
+                page.append(p)
+    hit = covered(np.array(stream, dtype=np.int64), np.array(page, dtype=np.int64), run)
+    at, left = 0, {}
+    for key, bs in unlike.items():
         n = sum(text.count(" ") + 1 for text in bs)
-        left.append(what_is_left(bs, hit[at : at + n], run))
+        left[key] = what_is_left(bs, hit[at : at + n], run)
         at += n
-    return left
+    return [left["\n".join(bs)] for bs in pages_blocks]
 
 
 def what_is_left(blocks_: list[str], hit: np.ndarray, run: int = RUN) -> list[str]:
