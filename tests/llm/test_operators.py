@@ -412,7 +412,7 @@ def test_suffix_arrays_against_brute_force():
     for _ in range(20):
         n = int(rng.integers(0, 120))
         tokens, page = rng.integers(0, 3, n), np.sort(rng.integers(0, 4, n))
-        hit = html_extract.covered(tokens, page, 4, 2)
+        hit = html_extract.covered(tokens, page, 4)
         want = np.zeros(n, dtype=bool)
         for i in range(n - 3):
             if page[i] == page[i + 3]:
@@ -422,6 +422,35 @@ def test_suffix_arrays_against_brute_force():
         assert (hit == want).all()
 
 
+def test_suffix_array():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 3, 7, 30, 64, 200):
+        for k in (1, 2, 5):
+            x = rng.integers(0, k, n)
+            order, shared = html_extract.suffix_array(x)
+            assert order.tolist() == sorted(range(n), key=lambda i: x[i:].tolist())
+            for i in range(1, n):
+                a, b = x[order[i - 1] :], x[order[i] :]
+                m = min(len(a), len(b))
+                same = np.flatnonzero(a[:m] != b[:m])
+                assert shared[i] == (same[0] if len(same) else m)
+
+
+def test_hostile_pages_are_read_in_linear_time():
+    import time
+
+    n = 1_000_000
+    for piece in ('<a "x', "<a ='x", '<a x="', "<div>", "<b x=1>", "</q>", "<", "<!--", "<p><b c=d>", "&amp", "<script>"):
+        began = time.process_time()
+        html_extract.blocks(piece * (n // len(piece)))
+        assert time.process_time() - began < 20, piece
+    for many in ("<div>" * 50_000 + "</p>" * 50_000, "<i x=y>" * 50_000 + "<p>" * 50_000):
+        began = time.process_time()
+        html_extract.blocks(many)
+        assert time.process_time() - began < 20
+    assert html_extract.blocks('<p title="a > b">x</p><p title=it\'s>y</p><p class="never closed>z')[0] == ["x", "y"]
+
+
 def test_extract(spark):
     boiler = "Welcome to our site please read all the terms of use before you go on"
     pages = [(i, f"http://h.example/{i}", f"<div>{boiler}</div><div>Own words of page {i} that are like no other {i * 7}</div>", "clash") for i in range(5)]
@@ -444,7 +473,46 @@ def test_grammar():
     assert weight("you are an idiot") > weight("this idiot here") > weight("he is not an idiot here") / 1.5 > 0
     assert weight("she said he is an idiot") < weight("he is an idiot") and weight('"an idiot" in quotes') < weight("an idiot")
     assert weight("I will kill you") > 0 == weight("kill the process") and weight("") == 0 == weight("a fine day. not bad")
-    assert len(g.clauses("idiot. moron; loser")[0]) == 3
+    assert len(g.clauses("an idiot. a moron; you loser")[0]) == 3
+    assert g.clauses("idiot")[0] == g.clauses("idiot!")[0] == []  # a word alone is no clause
+    assert len(g.clauses("idiot. moron; loser")[0]) == 1  # nor are marks between single words the ends of clauses
+    assert weight('a 5" pipe. you are an idiot.') == weight("you are an idiot.")  # a quotation ends with its clause
+
+
+def brute_clause(symbols):
+    """Score of one clause by looking back from every insult and threat; weights are 1."""
+    T = toxicity
+    words = [x for x in symbols if x != T.QUOTE]
+    if len(words) < 2:
+        return 0.0
+    total = 0.0
+    for i, x in enumerate(symbols):
+        if x not in (T.INSULT, T.THREAT):
+            continue
+        before = symbols[:i]
+        since = [y for y in before if y != T.QUOTE]
+        w = T.NEGATED if T.NOT in since[-T.REACH :] else 1.0
+        w *= T.REPORTED if T.SAYS in before or before.count(T.QUOTE) % 2 else 1.0
+        aimed = T.TARGET in symbols
+        total += w * (T.TARGETED if aimed else 1.0) if x == T.INSULT else w * aimed
+    return total
+
+
+def test_machine_against_every_short_clause():
+    from itertools import product
+
+    T, m = toxicity, toxicity.MACHINE
+    for n in range(6):
+        for symbols in product([x for x in T.SYMBOLS if x < T.PAUSE], repeat=n):
+            q, sums = 0, {T.INSULT: 0.0, T.THREAT: 0.0}
+            for x in symbols:
+                if x in sums:
+                    sums[x] += m.factor[q][x]
+                q = m.next[q][x]
+            a, b = m.accept[q]
+            assert a * sums[T.INSULT] + b * sums[T.THREAT] == pytest.approx(brute_clause(list(symbols)))
+            n_words = sum(x != T.QUOTE for x in symbols)
+            assert (m.gives[q][T.END], m.next[q][T.END]) == ((T.END, 0) if n_words > 1 else (T.PAUSE, q))
 
 
 def test_toxicity_learns(spark):

@@ -1,10 +1,13 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words are read into classes by transducers: insults, threats, targets (whom it is said to), negation and
-reported speech. The composed machine reads a clause (up to a full stop, semicolon, bar or line end) and
-scores what it accepts: an insult counts its weight, more if a target stands in the clause, a threat counts
-only with a target, negation just before discounts it, and so does a verb of saying or a quotation mark
-opened before it. A word alone is not a score: clauses are, and a document's features are its clauses'.
+Words are read into symbols: insult, threat, target (whom it is said to), negation, saying, quotation mark, the end
+of a clause, any other word. Four transducers over these symbols are composed into one machine. The first cuts
+clauses: a full stop, semicolon, bar or line end closes one of two words or more, and is a mere pause after a single
+word, so a list of words with marks between them is not taken for as many clauses. Negation discounts what stands
+within its reach, reported speech what follows a verb of saying or an open quotation mark (both end with the
+clause), and the target acceptor lets an insult count more if a target stands in the clause and a threat count only
+then. The machine weighs the insults and threats on its arcs; a clause that it closes in an accepting state has a
+score. A word alone has none; a document's features are its clauses'.
 
 The insult lexicon (beyond a few seeds) and its weights are log odds over labelled rows outside the held-out
 fold: whole words, and stems that nearly only insults begin with (written ``stem*``, the longest that fits a
@@ -20,7 +23,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -46,14 +49,113 @@ NEGATION = frozenset("not no never isn't aren't don't doesn't didn't wasn't were
 REPORT = frozenset("said says say wrote claimed called quoted reported sagte sagt schrieb nannte dit disait écrit dijo dice escribió".split())
 
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)?|[.!?;|\n\"“”«»]")
-_END = frozenset(".!?;|\n")
-_QUOTE = frozenset("\"“”«»")
 #: How far a negation reaches, in words.
 REACH = 3
 NEGATED, REPORTED, TARGETED = 0.25, 0.4, 1.5
 N_FEATURES = 7
 
 
+#: The symbols of the machine.
+WORD, INSULT, THREAT, TARGET, NOT, SAYS, QUOTE, PAUSE, END = SYMBOLS = range(9)
+
+
+@dataclass
+class Transducer:
+    """Deterministic and weighted: an arc from a state on a symbol gives the next state, a symbol and a factor.
+
+    accept: of a final state the factors of insults and of threats; a state without an entry is not final.
+    """
+
+    start: object
+    arcs: dict[tuple[object, int], tuple[object, int, float]]
+    accept: dict[object, tuple[float, float]]
+
+    @classmethod
+    def make(cls, start: object, states: Iterable[object], step: Callable[[object, int], tuple[object, float]], accept: Callable[[object], tuple[float, float] | None], gives: Callable[[object, int], int] = lambda q, x: x) -> Transducer:
+        """From a rule for each arc; the symbol passes through unless ``gives`` says another."""
+        states = list(states)
+        arcs = {(q, x): (n, gives(q, x), f) for q in states for x in SYMBOLS for n, f in [step(q, x)]}
+        return cls(start, arcs, {q: a for q in states if (a := accept(q)) is not None})
+
+    def compose(self, other: Transducer) -> Transducer:
+        """The machine that feeds what this one gives to the other; factors multiply."""
+        start = (self.start, other.start)
+        arcs, accept, todo = {}, {}, [start]
+        seen = {start}
+        while todo:
+            q = todo.pop()
+            p, r = q
+            if p in self.accept and r in other.accept:
+                accept[q] = tuple(a * b for a, b in zip(self.accept[p], other.accept[r], strict=True))
+            for x in SYMBOLS:
+                p2, y, f = self.arcs[p, x]
+                r2, z, g = other.arcs[r, y]
+                arcs[q, x] = ((p2, r2), z, f * g)
+                if (p2, r2) not in seen:
+                    seen.add((p2, r2))
+                    todo.append((p2, r2))
+        return Transducer(start, arcs, accept)
+
+
+def negation() -> Transducer:
+    """States: words since a negation, 0 for none within reach."""
+
+    def step(q: int, x: int) -> tuple[int, float]:
+        if x == NOT:
+            return 1, 1.0
+        if x in (QUOTE, PAUSE):
+            return q, 1.0
+        return (q + 1 if 0 < q < REACH and x != END else 0), NEGATED if q and x in (INSULT, THREAT) else 1.0
+
+    return Transducer.make(0, range(REACH + 1), step, lambda q: (1.0, 1.0))
+
+
+def reported_speech() -> Transducer:
+    """States: whether a verb of saying came before, and whether a quotation is open."""
+
+    def step(q: tuple[bool, bool], x: int) -> tuple[tuple[bool, bool], float]:
+        said, quoted = q
+        to = (False, False) if x == END else (True, quoted) if x == SAYS else (said, not quoted) if x == QUOTE else q
+        return to, REPORTED if (said or quoted) and x in (INSULT, THREAT) else 1.0
+
+    return Transducer.make((False, False), [(a, b) for a in (False, True) for b in (False, True)], step, lambda q: (1.0, 1.0))
+
+
+def target() -> Transducer:
+    """States: whether the clause has a target."""
+    return Transducer.make(False, (False, True), lambda q, x: (x != END and (q or x == TARGET), 1.0), lambda q: (TARGETED, 1.0) if q else (1.0, 0.0))
+
+
+def clauses() -> Transducer:
+    """States: words of the clause, up to two; an end before the second word is given on as a pause."""
+    step = lambda q, x: (q if x in (QUOTE, PAUSE) or x == END and q < 2 else 0 if x == END else min(2, q + 1), 1.0)
+    return Transducer.make(0, range(3), step, lambda q: (1.0, 1.0) if q == 2 else None, lambda q, x: PAUSE if x == END and q < 2 else x)
+
+
+class Machine:
+    """The composed transducers as tables: states are numbered, the first is the start."""
+
+    def __init__(self) -> None:
+        t = clauses().compose(negation()).compose(reported_speech()).compose(target())
+        number = {t.start: 0}
+        for q, _ in t.arcs:
+            number.setdefault(q, len(number))
+        self.next = [[0] * len(SYMBOLS) for _ in number]
+        self.gives = [list(SYMBOLS) for _ in number]
+        self.factor = [[1.0] * len(SYMBOLS) for _ in number]
+        self.accept: list[tuple[float, float]] = [(0.0, 0.0)] * len(number)
+        self.targeted = [q[1] for q in number]
+        for (q, x), (n, y, f) in t.arcs.items():
+            self.next[number[q]][x], self.gives[number[q]][x], self.factor[number[q]][x] = number[n], y, f
+        for q, a in t.accept.items():
+            self.accept[number[q]] = a
+
+
+MACHINE = Machine()
+#: Symbols of fixed words and marks; insults and threats come from the lexicon.
+FIXED = dict.fromkeys(TARGETS, TARGET) | dict.fromkeys(REPORT, SAYS) | dict.fromkeys(NEGATION, NOT) | dict.fromkeys("\"“”«»", QUOTE) | dict.fromkeys(".!?;|\n", END)
+
+
 @dataclass
 class Grammar:
     insults: dict[str, float] = field(default_factory=lambda: dict(SEEDS))
@@ -85,34 +187,20 @@ class Grammar:
         if not known:
             return [], len(tokens)
         out: list[tuple[float, bool]] = []
-        hits: list[tuple[str, float]] = []  # kind and weight after its modifiers
-        since, reported, quoted, target = REACH + 1, False, False, False
-
-        def close() -> None:
-            if hits:
-                total = sum(w * (TARGETED if target else 1) for k, w in hits if k == "insult") + sum(w for k, w in hits if k == "threat" and target)
-                if total:
-                    out.append((total, target))
-
-        for t in tokens:
-            if t in _END:
-                close()
-                hits, since, reported, target = [], REACH + 1, False, False
-                continue
-            if t in _QUOTE:
-                quoted = not quoted
-                continue
-            since += 1
-            if t in NEGATION:
-                since = 0
-            elif t in REPORT:
-                reported = True
-            elif t in TARGETS:
-                target = True
-            if t in known:
-                kind, weight = known[t]
-                hits.append((kind, weight * (NEGATED if since <= REACH else 1) * (REPORTED if reported or quoted else 1)))
-        close()
+        m, q, insult, threat = MACHINE, 0, 0.0, 0.0
+        for t in (*tokens, "."):
+            hit = known.get(t)
+            x = FIXED.get(t, WORD) if hit is None else INSULT if hit[0] == "insult" else THREAT
+            if x == END and m.gives[q][x] == END:
+                a, b = m.accept[q]
+                if total := a * insult + b * threat:
+                    out.append((total, m.targeted[q]))
+                insult = threat = 0.0
+            elif x == INSULT:
+                insult += hit[1] * m.factor[q][x]
+            elif x == THREAT:
+                threat += hit[1] * m.factor[q][x]
+            q = m.next[q][x]
         return out, len(tokens)
 
     def features(self, text: str | None) -> list[float]:
