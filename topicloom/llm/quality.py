@@ -138,8 +138,14 @@ def fit_arrays(p: np.ndarray, u: np.ndarray) -> Model:
 
 
 def _sample(docs: DataFrame, rows: int, n: int, salt: int) -> DataFrame:
-    """About rows of n, by a hash of the doc_id: the same at every run."""
-    return docs.where(F.pmod(F.xxhash64(F.lit(salt), F.col("doc_id")), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, rows / max(n, 1)))))
+    """About rows of n, by a hash of the doc_id: the same at every run.
+
+    Rows that share a doc_id (or have none) share a hash; where they swell the sample beyond four times ``rows``, it
+    is thinned row by row, so what reaches the driver stays bounded.
+    """
+    out = docs.where(F.pmod(F.xxhash64(F.lit(salt), F.col("doc_id")), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, rows / max(n, 1)))))
+    got = out.count()
+    return out if got <= 4 * rows else out.where(F.rand(salt) < rows / got)
 
 
 def _stats_of(docs: DataFrame) -> np.ndarray:
