@@ -398,3 +398,70 @@ def test_triplets(blobs):
     assert all(got[r["anchor"]] == got[r["positive"]] != got[r["negative"]] and -1 not in (got[r["anchor"]], got[r["negative"]]) for r in t.collect())
     assert metrics.triplet_accuracy(t, rows).first()[0] == 1.0 and metrics.triplet_accuracy(t.limit(0), rows).first()[0] is None
     assert guided.hard_margin(t, 5).count() == 5
+
+
+def test_calibration_asks_the_client():
+    asked = []
+
+    class Judge:
+        def complete(self, prompt):
+            asked.append(prompt)
+            return '{"answers": ["B"]}'
+
+    triplet = lambda p, s: [{"anchor": 1, "positive": 2, "negative": 3, "anchor_text": f"a{s}", "positive_text": "b", "negative_text": "c"}]
+    scores = {0.5: 0.2, 1.0: 0.6, 2.0: 0.4}
+    seen = []
+
+    def agreement(p, judged):
+        seen.append(judged[0]["raw_answer"])
+        return scores.get(p[0], 0.5 if p[0] < 1 else 0.9 if abs(p[0] - np.geomspace(0.5, 2, 5)[3]) < 1e-9 else 0.1)
+
+    got = guided.calibrate(Judge(), lambda r, s: (r, s), triplet, agreement, [0.5, 1.0, 2.0])
+    assert got == pytest.approx(np.geomspace(0.5, 2, 5)[3]) and len(asked) == 3 and set(seen) == {"B"}
+
+
+def test_diverse_keywords_and_matches(spark):
+    v = {"a": [1.0, 0.0], "b": [0.99, 0.05], "c": [0.6, 0.6], "d": [0.0, 1.0]}
+    words = spark.createDataFrame([(0, t, x) for t, x in v.items()], "topic_id int, term string, v array<double>")
+    centre = spark.createDataFrame([(0, [1.0, 0.1])], "topic_id int, centroid array<double>")
+    got = [r["term"] for r in sorted(keywords.diverse(words, centre, 2).collect(), key=lambda r: r["rank"])]
+    unit = {t: np.array(x) / np.linalg.norm(x) for t, x in v.items()}
+    c = np.array([1, 0.1]) / np.linalg.norm([1, 0.1])
+    first = max(v, key=lambda t: unit[t] @ c)
+    assert got == [first, max((t for t in v if t != first), key=lambda t: 0.5 * unit[t] @ c - 0.5 * unit[t] @ unit[first])]
+    a = spark.createDataFrame([(0, [1.0, 0.0], ["x", "y"]), (1, [0.0, 1.0], ["z"])], "topic_id int, centroid array<double>, keywords array<string>")
+    b = spark.createDataFrame([(7, [0.1, 1.0], ["Z"]), (8, [1.0, 0.1], ["y", "q"])], a.schema)
+    assert {(r["topic_a"], r["topic_b"], round(r["jaccard"], 6)) for r in metrics.matched_overlap(a, b).collect()} == {(0, 8, 0.333333), (1, 7, 1.0)}
+    assert metrics.matched_overlap(a, b.limit(0)).count() == 0
+
+
+def test_scores_of_a_good_and_a_blind_representation(blobs, spark):
+    df, true, x, truth = blobs
+    rows = df.select("doc_id", "v").join(true.withColumnRenamed("topic_id", "truth"), "doc_id")
+    assert metrics.downstream_score(rows.withColumn("topic_id", F.col("truth"))) > 0.95
+    blind = rows.select("doc_id", F.array(F.lit(0.0)).alias("v"), "truth", F.lit(0).alias("topic_id"))
+    assert metrics.downstream_score(blind) < 0.4 and metrics.downstream_score(rows.withColumn("topic_id", F.lit(0)).where("truth = 0")) == 0.0
+    whole = df.select("doc_id", "v", F.lit(1.0).alias("weight"))
+    assert coreset.cost_ratio(df, whole, 3) == pytest.approx(1.0) and 0.3 < coreset.cost_ratio(df, whole.where("doc_id % 2 = 0"), 3) < 1.5
+
+
+def test_maps_for_plots(fitted):
+    at = fitted.projection(2).collect()
+    assert len(at) == 105 and all(len(r["v"]) == 2 for r in at)
+    t = fitted.topic_map().collect()
+    c = {r["topic_id"]: np.array(r["centroid"]) / np.linalg.norm(r["centroid"]) for r in fitted.centroids().collect()}
+    p = {r["topic_id"]: np.array(r["at"]) for r in t}
+    for i in c:
+        for j in c:  # three topics fit a plane
+            assert np.linalg.norm(p[i] - p[j]) == pytest.approx(abs(1 - c[i] @ c[j]), abs=1e-6)
+
+
+def test_entropy_anchors_are_those_of_a_sort(spark):
+    rng = np.random.default_rng(5)
+    p = np.round(rng.dirichlet(np.ones(3), 400), 2)
+    p[100:200] = p[100]  # many ties
+    probs = spark.createDataFrame([(i, t, float(x)) for i, row in enumerate(p) for t, x in enumerate(row)], "doc_id long, topic_id int, prob double")
+    h = {i: round(float(-sum(np.clip(x, 1e-12, 1) * np.log(np.clip(x, 1e-12, 1)) for x in sorted(row))), 6) for i, row in enumerate(p)}
+    for share in (0.5, 0.31, 1.0, 0.0):
+        got = {r["doc_id"] for r in topics.entropy_anchors(probs, share).collect()}
+        assert got == set(sorted(h, key=lambda i: (-h[i], i))[: int(np.ceil(share * 400))])

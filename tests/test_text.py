@@ -103,4 +103,4 @@ def test_choices_phrases_and_calibration():
     assert guided.reassign_low_confidence(Fake('{"choices": [2, 9]}'), docs, {i: t["keywords"] for i, t in enumerate(T)}) == [(5, 2), (6, 2)]
     assert guided.keyphrases(Fake('{"phrases": [["a", " b "], "x"]}'), docs, 2) == {5: ["a", "b"], 6: []}
     score = {0.5: 0.4, 1.0: 0.8, 2.0: 0.8, 4.0: 0.1}
-    assert guided.calibrate(Fake(), lambda r: r, lambda r: score.get(r, 0.8 - abs(r - 1.2)), [0.5, 1.0, 2.0, 4.0]) in (1.0, 2.0)
+    assert guided.calibrate(Fake(), lambda r, s: r, lambda p, s: [], lambda r, judged: score.get(r, 0.8 - abs(r - 1.2)), [0.5, 1.0, 2.0, 4.0]) in (1.0, 2.0)

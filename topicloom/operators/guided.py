@@ -246,23 +246,34 @@ def read_judgments(spark: SparkSession, path: str) -> dict[str, str | None]:
     return {r["hash"]: r["raw_answer"] for r in spark.read.schema("hash string, raw_answer string, split string").json(path).collect()}
 
 
-def calibrate(client: Client, partitions_of: Callable[[float], DataFrame], agreement: Callable[[DataFrame], float], coarse: Sequence[float], fine: int = 5) -> float:
-    """The resolution whose partition agrees best with the judged triplets: a coarse grid, then a finer one
-    around its best; of equal scores the coarse choice stays, else the one nearest the middle."""
-    del client
-    score = {r: agreement(partitions_of(r)) for r in coarse}
-    best = max(coarse, key=lambda r: (round(score[r], 9), -abs(r - coarse[len(coarse) // 2])))
+def calibrate(client: Client, partitions_of: Callable[[float, int], DataFrame], triplets_of: Callable[[DataFrame, int], list[dict]], agreement: Callable[[DataFrame, list[dict]], float], coarse: Sequence[float], fine: int = 5, seeds: Sequence[int] = (42, 43, 44)) -> float:
+    """The resolution whose partitions agree best with triplets that the client judges.
+
+    partitions_of(resolution, seed), triplets_of(partition, seed): what to ask about (with texts), and agreement of a
+    partition with judged triplets. Each seed's triplets come from the middle of the coarse grid and are judged
+    once; a score is the mean over seeds. A coarse grid comes first, then a finer one around its best; of equal
+    scores the coarse choice stays, else the one nearest the middle.
+    """
+    middle_of = lambda g: g[len(g) // 2]
+    judged, memory = {}, {}
+    for s in seeds:
+        judged[s] = judge(client, triplets_of(partitions_of(middle_of(coarse), s), s), seed=s, cache=memory)
+
+    def mean(r: float) -> float:
+        return sum(agreement(partitions_of(r, s), judged[s]) for s in seeds) / len(seeds)
+
+    score = {r: mean(r) for r in coarse}
+    best = max(coarse, key=lambda r: (round(score[r], 9), -abs(r - middle_of(coarse))))
     i = list(coarse).index(best)
     lo, hi = coarse[max(0, i - 1)], coarse[min(len(coarse) - 1, i + 1)]
     grid = np.geomspace(lo, hi, fine).tolist() if lo < hi else [best]
     for r in grid:
         if r not in score:
-            score[r] = agreement(partitions_of(r))
+            score[r] = mean(r)
     top = max(score.values())
     if score[best] >= top - 1e-9:
         return float(best)
-    middle = grid[len(grid) // 2]
-    return float(min((r for r in score if score[r] >= top - 1e-9), key=lambda r: abs(r - middle)))
+    return float(min((r for r in score if score[r] >= top - 1e-9), key=lambda r: abs(r - middle_of(grid))))
 
 
 def reassign_low_confidence(client: Client, docs: list[dict], topics: dict[int, list[str]], batch: int = 8) -> list[tuple[int, int]]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,6 +78,30 @@ def keyphrases(docs: DataFrame, n: int = 10, most: int = 3, stop: frozenset[str]
     return top_terms(t.select("topic_id", "term", (F.col("tf") / top).alias("score")), n)
 
 
+def diverse(candidates: DataFrame, centres: DataFrame, n: int = 10, diversity: float = 0.5) -> DataFrame:
+    """topic_id, term, rank: terms nearest a topic's vector and unlike each other (maximal marginal relevance).
+
+    candidates: topic_id, term, v (the term's vector, from any encoder); centres: topic_id, centroid. A topic's
+    candidates are a list of keywords, bounded by whoever made it, and are chosen from in one task.
+    """
+    rows = candidates.select("topic_id", "term", F.col("v").cast("array<double>").alias("v")).join(few(centres.select("topic_id", "centroid")), "topic_id")
+
+    def choose(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("term")
+        unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-10)
+        x, c = unit(np.stack(t["v"])), unit(np.array([t["centroid"].iloc[0]]))
+        near, high, at = np.round(x @ c[0], 9), np.zeros(len(x)), []
+        for _ in range(min(n, len(x))):
+            score = (1 - diversity) * near - diversity * (high if at else 0.0)
+            score[at] = -np.inf
+            at.append(int(np.argmax(np.round(score, 9))))
+            s = x @ x[at[-1]]
+            high = s if len(at) == 1 else np.maximum(high, s)
+        return pd.DataFrame({"topic_id": t["topic_id"].iloc[0], "term": t["term"].to_numpy()[at], "rank": np.arange(1, len(at) + 1)})
+
+    return rows.groupBy("topic_id").applyInPandas(choose, "topic_id int, term string, rank int")
+
+
 def labels(keywords: DataFrame) -> DataFrame:
     """topic_id, label, description from rows topic_id, keywords (array)."""
     return keywords.select("topic_id", simple_label(F.col("keywords")).alias("label"), simple_description(F.col("keywords")).alias("description"))

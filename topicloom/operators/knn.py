@@ -12,10 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from topicloom.session import cut
+
 BLOCK = 4096
 QUERY_BLOCK = 512
 EXACT_ROWS = 50_000
 FIT_ROWS = 20_000
+#: Share of the true neighbours that the probed cells of a sample's queries hold.
+RECALL = 0.95
 OUT = "src long, dst long, sim double"
 
 
@@ -77,8 +81,8 @@ def exact(queries: DataFrame, data: DataFrame, k: int, metric: str = "cosine", n
     return _top(pairs, k)
 
 
-def centres(data: DataFrame, cells: int, rows: int = FIT_ROWS, seed: int = 42, rounds: int = 8) -> np.ndarray:
-    """Cell centres by spherical k-means on a bounded sample of rows (by hash)."""
+def centres(data: DataFrame, cells: int, rows: int = FIT_ROWS, seed: int = 42, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Cell centres by spherical k-means on a bounded sample of rows (by hash), and that sample."""
     n = data.count()
     part = data.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, rows / max(1, n)))))
     t = part.select("id", F.col("v").cast("array<double>").alias("v")).toArrow().sort_by("id")
@@ -91,20 +95,37 @@ def centres(data: DataFrame, cells: int, rows: int = FIT_ROWS, seed: int = 42, r
         np.add.at(total, near, x)
         some = np.linalg.norm(total, axis=1) > 0
         c[some] = total[some] / np.linalg.norm(total[some], axis=1, keepdims=True)
-    return c
+    return c, x
+
+
+def probes_for(x: np.ndarray, c: np.ndarray, k: int, recall: float = RECALL, queries: int = 400) -> int:
+    """The fewest cells that hold the share ``recall`` of the exact neighbours of some rows of a sample.
+
+    Rows of the whole table lie nearer to each other than those of a sample, so the sample asks for no fewer cells.
+    """
+    q = np.unique(np.linspace(0, len(x) - 1, min(queries, len(x))).astype(int))
+    s = x[q] @ x.T
+    s[np.arange(len(q)), q] = -np.inf
+    k = min(k, len(x) - 1)
+    if k < 1:
+        return 1
+    near = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    place = np.argsort(np.argsort(-(x[q] @ c.T), axis=1, kind="stable"), axis=1)  # of each cell in a query's order
+    at = np.sort(np.take_along_axis(place, (x @ c.T).argmax(1)[near], axis=1).ravel())
+    return int(at[max(0, int(np.ceil(recall * len(at))) - 1)]) + 1
 
 
 def inverted(queries: DataFrame, data: DataFrame, k: int, probes: int | None = None, cells: int | None = None, seed: int = 42) -> DataFrame:
-    """Approximate search: every row is indexed in its nearest cell; a query looks into its nearest probes.
+    """Approximate search: every row is indexed in its nearest cell; a query looks into its nearest cells, as many as
+    a sample needs for ``RECALL`` (``probes`` sets another number).
 
     The centres are a bounded constant (fitted on ``FIT_ROWS``); a cell larger than a block is dealt over
     several blocks, all of which its queries visit, so none is dropped.
     """
     n = data.count()
     cells = cells or max(1, min(FIT_ROWS // 10, int(np.sqrt(n) / 2)))
-    probes = probes or max(1, int(np.ceil(cells * 0.35)))
-    c = centres(data, cells, seed=seed)
-    cells = len(c)
+    c, part = centres(data, cells, seed=seed)
+    probes, cells = probes or probes_for(part, c, k), len(c)
 
     def nearest(m: int):
         def run(batches):
@@ -122,7 +143,7 @@ def inverted(queries: DataFrame, data: DataFrame, k: int, probes: int | None = N
 
     cast = lambda df: df.select("id", F.col("v").cast("array<double>").alias("v"))
     out = "id long, v array<double>, cells array<int>"
-    x = cast(data).mapInArrow(nearest(1), out).select("id", "v", F.col("cells")[0].alias("cell"))
+    x = cut(cast(data).mapInArrow(nearest(1), out).select("id", "v", F.col("cells")[0].alias("cell")))
     size = x.groupBy("cell").count().select(F.col("cell").alias("s_cell"), F.ceil(F.col("count") / BLOCK).cast("int").alias("parts"))
     size = F.broadcast(size)  # one row for each centre, a bounded constant
     x = x.join(size, F.col("cell") == F.col("s_cell")).select("id", "v", "cell", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))

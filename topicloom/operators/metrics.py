@@ -204,6 +204,53 @@ def hungarian_accuracy(table: DataFrame) -> float:
     return float(sum(m[i, j] for i, j in assignment(m)) / m.sum())
 
 
+def matched_overlap(a: DataFrame, b: DataFrame, threshold: float = 0.0) -> DataFrame:
+    """topic_a, topic_b, jaccard of keywords over the best one-to-one match of two sets of topics by centroid.
+
+    a, b: topic_id, centroid, keywords. Their mean is the mean keyword overlap. Topics are few (``few`` checks them).
+    """
+    x, y = (sorted(t.select("topic_id", "centroid").collect()) for t in (a, b))
+    pairs = []
+    if x and y:
+        u, v = (np.array([r["centroid"] for r in t], dtype=float) for t in (x, y))
+        u, v = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-10) for m in (u, v))
+        s = u @ v.T
+        pairs = [(x[i]["topic_id"], y[j]["topic_id"], float(s[i, j])) for i, j in assignment(s) if s[i, j] >= threshold]
+    found = a.sparkSession.createDataFrame(pairs, "topic_a int, topic_b int, sim double")
+    side = lambda t, n: few(t.select(F.col("topic_id").alias(f"topic_{n}"), F.col("keywords").alias(f"k{n}")))
+    return found.join(side(a, "a"), "topic_a").join(side(b, "b"), "topic_b").select("topic_a", "topic_b", "sim", jaccard(F.col("ka"), F.col("kb")).alias("jaccard"))
+
+
+def downstream_score(rows: DataFrame, seed: int = 42, folds: int = 5) -> float:
+    """Mean macro F1, over folds, of a logistic regression that predicts ``truth`` from v and the one-hot topic.
+
+    The number of folds is bounded by the rarest class; 0.0 with a single class or a class of one row.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    n = {r["truth"]: r["n"] for r in rows.groupBy("truth").agg(F.count(F.lit(1)).alias("n")).collect()}  # classes are few
+    folds = min(folds, min(n.values(), default=0))
+    if len(n) < 2 or folds < 2:
+        return 0.0
+    ids = sorted(r[0] for r in rows.select("topic_id").distinct().collect())
+    names = {t: i for i, t in enumerate(sorted(n))}
+    one = F.array(*(F.when(F.col("topic_id") == t, 1.0).otherwise(0.0) for t in ids))
+    to = F.create_map(*(c for t, i in names.items() for c in (F.lit(t), F.lit(float(i)))))
+    order = Window.partitionBy("truth").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id")
+    x = rows.select("doc_id", array_to_vector(F.concat(F.col("v").cast("array<double>"), one)).alias("features"), to[F.col("truth")].alias("label"), (F.row_number().over(order) % folds).alias("fold"))
+    scores = []
+    for k in range(folds):
+        model = LogisticRegression(maxIter=100, regParam=1e-3).fit(x.where(F.col("fold") != k))
+        c = contingency(model.transform(x.where(F.col("fold") == k)).select(F.col("label").alias("a"), F.col("prediction").alias("b"))).collect()
+        f = []
+        for t in map(float, range(len(n))):
+            hit, told, real = (sum(r["n"] for r in c if w(r)) for w in (lambda r, t=t: r["a"] == r["b"] == t, lambda r, t=t: r["b"] == t, lambda r, t=t: r["a"] == t))
+            f.append(2 * hit / (told + real) if told + real else 0.0)
+        scores.append(sum(f) / len(f))
+    return sum(scores) / len(scores)
+
+
 def rare_topic_recall(full: DataFrame, found: DataFrame, n: int, fraction: float = 0.05, cutoff: float = 0.7) -> DataFrame:
     """Share of the full batch's topics below fraction * n documents that have a centroid within the cutoff.
 

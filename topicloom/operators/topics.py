@@ -247,7 +247,24 @@ def low_margin(probs: DataFrame, margin: float = 0.15, most: int = 200) -> DataF
 
 
 def entropy_anchors(probs: DataFrame, fraction: float = 0.5) -> DataFrame:
-    """doc_id, entropy of the ceil(fraction * n) documents with the highest entropy (ties by id)."""
-    e = probs.groupBy("doc_id").agg(F.round(V.entropy(F.array_sort(F.collect_list("prob"))), 9).alias("entropy"))
+    """doc_id, entropy (six decimals) of the ceil(fraction * n) documents with the highest entropy (ties by id).
+
+    Counts by entropy give the value at which the quota ends, and what is left of it there goes to the smallest ids,
+    so nothing but that one value is ordered and nothing is gathered in one task.
+    """
+    e = cut(probs.groupBy("doc_id").agg(F.round(V.entropy(F.array_sort(F.collect_list("prob"))), 6).alias("entropy")))
     n = int(np.ceil(fraction * e.count()))
-    return e.orderBy(F.desc("entropy"), "doc_id").limit(n)
+    if not n:
+        return e.limit(0)
+    marks = e.agg(F.percentile_approx("entropy", F.array(*(F.lit(i / 1024) for i in range(1, 1024))), 100_000).alias("m")).first()["m"] or []
+    marks = sorted(set(marks), reverse=True)
+    at = F.size(F.filter(F.array(*map(F.lit, marks)).cast("array<double>"), lambda m: m > F.col("entropy")))
+    ranged = e.withColumn("range", at)
+    upto, edge = 0, None
+    for r in sorted(ranged.groupBy("range").agg(F.count(F.lit(1)).alias("c")).collect()):  # 1,024 ranges at most
+        if upto + r["c"] >= n:
+            edge = r["range"]
+            break
+        upto += r["c"]
+    rest = ranged.where(F.col("range") == edge).orderBy(F.desc("entropy"), "doc_id").limit(n - upto)
+    return ranged.where(F.col("range") < edge).unionByName(rest).drop("range")

@@ -273,12 +273,19 @@ def metadata_categorical(s, d):
     return graph.categorical_edges(_meta(s, d), ["lang", "source"])
 
 
-@query()
+@query(f"WITH {_M}{_NUM} SELECT src, dst, round(weight, 6) AS weight FROM nu")
 def metadata_numeric(s, d):
     return rounded(graph.numeric_edges(_meta(s, d), "n_chars", K), "weight")
 
 
-@query()
+_META = (_CAT + _NUM).replace("m AS (", "mm AS (", 1).replace("FROM m ", "FROM mm ").replace("JOIN m ", "JOIN mm ").replace("FROM m)", "FROM mm)")
+_FUSE = f"""{HYB}, {_LEX.replace("FROM documents)", "FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings))")}, {_META},
+me AS (SELECT src, dst, sum(weight) AS weight FROM (SELECT * FROM ca UNION ALL SELECT * FROM nu) GROUP BY ALL),
+fs AS (SELECT src, dst, weight / max(weight) OVER () AS s FROM hy WHERE weight > 0), fl AS (SELECT src, dst, weight / max(weight) OVER () AS l FROM lx), fm AS (SELECT src, dst, weight / max(weight) OVER () AS m FROM me),
+fu AS (SELECT src, dst, max(s) AS s, max(l) AS l, max(m) AS m FROM (SELECT src, dst, s, NULL AS l, NULL AS m FROM fs UNION ALL SELECT src, dst, NULL, l, NULL FROM fl UNION ALL SELECT src, dst, NULL, NULL, m FROM fm) GROUP BY ALL)"""
+
+
+@query(f"WITH {_FUSE} SELECT src, dst, round(0.5 * coalesce(s, 0) + 0.3 * coalesce(l, 0) + 0.2 * coalesce(m, 0) + 0.1 * least(coalesce(s, 0), coalesce(l, 0)), 6) AS weight FROM fu WHERE src < dst")
 def multiview_fusion(s, d):
     e = t(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"))
     x = docs(s, d).join(e, "doc_id", "left_semi")
@@ -409,21 +416,21 @@ def merge_topics(s, d):
     return topics.relabel(x.select("doc_id", "topic_id"), topics.merge_map(topics.sizes(x), [[1, 2, 3]]))
 
 
-@query("WITH x AS (SELECT vec_id AS doc_id, label AS c, label % 3 AS p FROM embeddings WHERE vec_id % 5 <> 0), n AS (SELECT c, p, count(*) AS n FROM x GROUP BY ALL) SELECT c AS topic_id, p AS parent_id FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY n DESC, p) AS r FROM n) WHERE r = 1")
+@query("WITH x AS (SELECT vec_id AS doc_id, label AS c, label % 3 AS p FROM embeddings ), n AS (SELECT c, p, count(*) AS n FROM x GROUP BY ALL) SELECT c AS topic_id, p AS parent_id FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY n DESC, p) AS r FROM n) WHERE r = 1")
 def parent_majority_vote(s, d):
-    x = vecs(s, d).where("doc_id % 5 <> 0")
+    x = vecs(s, d)
     return topics.parents(x.select("doc_id", "topic_id"), x.select("doc_id", (F.col("topic_id") % 3).alias("topic_id")))
 
 
 @query(
     f"""WITH {CENT}, j AS (SELECT e.doc_id, e.v, c.centroid, 0.3 * sqrt(greatest(0, least(1, {COS}(e.v, c.centroid)))) AS b FROM e JOIN c USING (topic_id)),
 m AS (SELECT doc_id, list_transform(list_zip(v, centroid), lambda z: z[1] * (1 - b) + z[2] * b) AS y FROM j)
-SELECT doc_id, round(y[1] / sqrt(list_inner_product(y, y)), 6) AS first, round(list_sum(y) / sqrt(list_inner_product(y, y)), 6) AS total FROM m"""
+SELECT doc_id, CAST(unnest(range(0, len(y))) AS INT) AS pos, round(unnest(y) / sqrt(list_inner_product(y, y)), 6) AS x FROM m"""
 )
 def refine_blend(s, d):
     x = vecs(s, d)
     v = topics.refine(x, topics.centroids(x), topics.blend_schedule(0, 3))
-    return v.select("doc_id", r6(F.col("v")[0]).alias("first"), r6(F.aggregate("v", F.lit(0.0), lambda a, b: a + b)).alias("total"))
+    return rounded(v.select("doc_id", F.posexplode("v").alias("pos", "x")), "x")
 
 
 @query(f"WITH {PROB}, m AS (SELECT doc_id, list(prob ORDER BY prob DESC) AS p FROM prob GROUP BY doc_id) SELECT doc_id, round(m, 6) AS margin FROM (SELECT doc_id, round(p[1] - p[2], 9) AS m FROM m) WHERE m < 0.15 ORDER BY m, doc_id LIMIT 200")
@@ -435,9 +442,7 @@ def low_margin_docs(s, d):
 @query(f"WITH {PROB}, h AS (SELECT doc_id, round(-sum(greatest(1e-12, least(1, prob)) * ln(greatest(1e-12, least(1, prob)))), 9) AS entropy FROM prob GROUP BY doc_id) SELECT doc_id, round(entropy, 6) AS entropy FROM (SELECT *, row_number() OVER (ORDER BY round(entropy, 6) DESC, doc_id) AS r, count(*) OVER () AS n FROM h) WHERE r <= ceil(0.5 * n)")
 def entropy_anchors(s, d):
     x = vecs(s, d)
-    e = topics.probabilities(x, topics.centroids(x)).groupBy("doc_id").agg(r6(V.entropy(F.array_sort(F.collect_list("prob")))).alias("entropy"))
-    n = -(-e.count() // 2)
-    return e.orderBy(F.desc("entropy"), "doc_id").limit(n)
+    return topics.entropy_anchors(topics.probabilities(x, topics.centroids(x)))
 
 
 # ---- metrics ----------------------------------------------------------------------------------------------------
@@ -506,7 +511,16 @@ def _words(s, d) -> DataFrame:
     return keywords.top_terms(keywords.ctfidf(docs(s, d), ENGLISH, most=1), 8).select("topic_id", "term", "rank")
 
 
-@query()
+_COH = _CTF.replace("unnest(list_concat(ts, list_transform(range(1, len(ts)), lambda i: ts[i] || ' ' || ts[i + 1])))", "unnest(ts)") + """, k8 AS (SELECT topic_id, term, rank FROM kw WHERE rank <= 8),
+t1 AS (SELECT doc_id, ts, greatest(1, len(ts) - 9) AS nw FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{1,}') AS ts FROM d) WHERE len(ts) > 0), tw AS (SELECT sum(nw)::DOUBLE AS w FROM t1),
+ps AS (SELECT doc_id, nw, pos, term FROM (SELECT doc_id, nw, unnest(range(0, len(ts))) AS pos, unnest(ts) AS term FROM t1) WHERE term IN (SELECT term FROM k8)),
+wi AS (SELECT DISTINCT doc_id, term, unnest(range(greatest(0, pos - 9), least(pos, nw - 1) + 1)) AS win FROM ps), fr AS (SELECT term, count(*)::DOUBLE AS f FROM wi GROUP BY term),
+pr AS (SELECT a.topic_id, a.term AS x, b.term AS y FROM k8 a JOIN k8 b ON a.topic_id = b.topic_id AND a.rank < b.rank),
+co AS (SELECT a.term AS p, b.term AS q, count(*)::DOUBLE AS f FROM wi a JOIN wi b ON a.doc_id = b.doc_id AND a.win = b.win AND a.term < b.term GROUP BY ALL),
+sc AS (SELECT topic_id, (coalesce(co.f, 0) + 1) / (w + 1) AS pab, (fa.f + 1) / (w + 1) AS pa, (fb.f + 1) / (w + 1) AS pb, coalesce(co.f, 0) AS fab, fb.f AS fy FROM pr JOIN fr fa ON fa.term = x JOIN fr fb ON fb.term = y LEFT JOIN co ON co.p = least(x, y) AND co.q = greatest(x, y), tw)"""
+
+
+@query(f"WITH {_COH} SELECT topic_id, round(avg(ln(pab / (pa * pb)) / (-ln(pab) + 1e-12)), 6) AS npmi, round(avg(ln(pab / (pa * pb + 1e-12))), 6) AS uci, round(avg(ln((fab + 1) / fy)), 6) AS umass FROM sc GROUP BY topic_id")
 def coherence(s, d):
     return rounded(metrics.coherence(docs(s, d), _words(s, d)), "npmi", "uci", "umass")
 
@@ -601,11 +615,11 @@ def novelty_by_batch(s, d):
     return a.groupBy(F.expr("doc_id div 100").alias("batch")).agg(r6(F.avg((F.col("topic_id") == -1).cast("double"))).alias("novelty"))
 
 
-@query(f"WITH {E}, b AS (SELECT topic_id AS g, doc_id % 2 AS h, i, avg(x) AS x, count(*) AS m FROM (SELECT topic_id, doc_id, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM e) GROUP BY ALL), s AS (SELECT g, i, sum(x * m) / sum(m) AS x, sum(m) AS mass FROM b GROUP BY ALL), n AS (SELECT g, sqrt(sum(x * x)) AS n FROM s GROUP BY g) SELECT g AS global_id, round(list(x / n ORDER BY i)[1], 6) AS first, round(any_value(mass), 6)::DOUBLE AS mass FROM s JOIN n USING (g) GROUP BY g")
+@query(f"WITH {E}, b AS (SELECT topic_id AS g, doc_id % 2 AS h, i, avg(x) AS x, count(*) AS m FROM (SELECT topic_id, doc_id, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM e) GROUP BY ALL), s AS (SELECT g, i, sum(x * m) / sum(m) AS x, sum(m) AS mass FROM b GROUP BY ALL), n AS (SELECT g, sqrt(sum(x * x)) AS n FROM s GROUP BY g) SELECT g AS global_id, CAST(i - 1 AS INT) AS pos, round(x / n, 6) AS x, round(mass, 6)::DOUBLE AS mass FROM s JOIN n USING (g)")
 def registry_merge(s, d):
     x = vecs(s, d)
     side = [topics.centroids(x.where(f"doc_id % 2 = {h}")).join(x.where(f"doc_id % 2 = {h}").groupBy("topic_id").agg(F.count(F.lit(1)).cast("double").alias("mass")), "topic_id").withColumnRenamed("topic_id", "global_id") for h in (0, 1)]
-    return cumulative.merge_registry(*side).select("global_id", r6(F.col("centroid")[0]).alias("first"), r6(F.col("mass")).alias("mass"))
+    return cumulative.merge_registry(*side).select("global_id", F.posexplode("centroid").alias("pos", "x"), r6(F.col("mass")).alias("mass")).withColumn("x", r6(F.col("x")))
 
 
 @query("SELECT date_trunc('day', ts) AS start, date_trunc('day', ts) + INTERVAL 1 DAY AS \"end\", event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -54,7 +54,7 @@ class Config:
             raise ValueError(f"soft_method {self.soft_method!r}")
 
 
-def pca(rows: DataFrame, dims: int, fit_rows: int = 50_000) -> DataFrame:
+def pca(rows: DataFrame, dims: int) -> DataFrame:
     """Rows with v projected on the leading components of the covariance (summed on executors)."""
     import pyarrow as pa
 
@@ -68,7 +68,6 @@ def pca(rows: DataFrame, dims: int, fit_rows: int = 50_000) -> DataFrame:
             s, q, n = s + x.sum(0), q + x.T @ x, n + len(x)
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([s.tolist()]), pa.array([q.ravel().tolist()])], names=["n", "s", "q"])
 
-    del fit_rows
     parts = rows.select(F.col("v").cast("array<double>").alias("v")).mapInArrow(moments, "n long, s array<double>, q array<double>").collect()  # d * d numbers a task
     n = sum(p["n"] for p in parts)
     mean = sum(np.array(p["s"]) for p in parts) / n
@@ -297,6 +296,27 @@ class TopicModel:
             above = own
         return cut(nodes), cut(member)
 
+    def projection(self, dims: int = 2) -> DataFrame:
+        """doc_id, topic_id and coordinates (v) of the documents on their leading components, for a plot."""
+        s = self._need()
+        return pca(s.select("doc_id", "v"), dims).join(s.select("doc_id", "topic_id"), "doc_id")
+
+    def topic_map(self, dims: int = 2) -> DataFrame:
+        """topic_id, size, label and coordinates of the topics: classical scaling of their cosine distances."""
+        rows = self.centroids().orderBy("topic_id").collect()  # topics are few
+        x = np.array([r["centroid"] for r in rows], dtype=float).reshape(len(rows), -1)
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-10)
+        at = np.zeros((len(rows), dims))
+        if len(rows) > 1:
+            centre = np.eye(len(rows)) - 1 / len(rows)
+            val, vec = np.linalg.eigh(-0.5 * centre @ (1 - x @ x.T) ** 2 @ centre)
+            k = min(dims, len(rows))
+            top = np.argsort(val)[::-1][:k]
+            vec = vec[:, top] * np.sign(vec[:, top][np.abs(vec[:, top]).argmax(0), np.arange(k)])
+            at[:, :k] = vec * np.sqrt(np.maximum(val[top], 0))
+        out = self._need().sparkSession.createDataFrame([(int(r["topic_id"]), a.tolist()) for r, a in zip(rows, at, strict=True)], "topic_id int, at array<double>")
+        return self.topic_info().select("topic_id", "size", "label").join(out, "topic_id")
+
     # ---- persistence ------------------------------------------------------------------------------------------
     def save(self, path: str) -> None:
         spark = self._need().sparkSession
