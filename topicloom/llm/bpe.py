@@ -31,7 +31,7 @@ from topicloom.llm.common import bound_batches
 
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes (about) that each generation of a worker's memo of stretches holds, and entries of the memo of pairs.
-MEMO_BYTES, MEMO_PAIRS = 28 << 20, 200_000
+MEMO_BYTES, MEMO_PAIRS = 36 << 20, 200_000
 #: Characters of a text that are encoded at a time, so a very long text needs little more than itself.
 BLOCK = 1 << 18
 _BORDER = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
