@@ -14,10 +14,13 @@ from topicloom.functions.text import uniform_from_hash
 from topicloom.operators.topics import few, vector_mean
 
 
+def uniform(key: str = "doc_id", seed: int = 42) -> Column:
+    """A number from 0 to 1 that the key and the seed fix."""
+    return uniform_from_hash(F.sha2(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))), 256))
+
+
 def race_key(seed: int, weight: Column, key: str = "doc_id") -> Column:
-    digest = F.sha2(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))), 256)
-    u = F.greatest(uniform_from_hash(digest), F.lit(1e-15))
-    return -F.log(u) / weight
+    return -F.log(F.greatest(uniform(key, seed), F.lit(1e-15))) / weight
 
 
 def recency_weights(rows: DataFrame, new_count: int, floor: float = 0.25) -> DataFrame:

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.functions.text import unverified
+from topicloom.operators.coreset import uniform
+from topicloom.operators.topics import entropy_anchors
 
 
 class Client(Protocol):
@@ -195,6 +197,26 @@ def hard_margin(triplets: DataFrame, n: int) -> DataFrame:
     return triplets.orderBy(F.round("margin", 9), "anchor").limit(n)
 
 
+def sample_triplets(knn: DataFrame, labels: DataFrame, n: int, how: str = "fast", probs: DataFrame | None = None, seed: int = 42, fraction: float = 0.5, oversample: int = 4) -> DataFrame:
+    """Up to n triplets (anchor, positive, negative, margin) to ask about.
+
+    fast: anchors drawn by seeded hash among documents with a topic. entropy: drawn among the ``fraction`` of them with
+    the highest entropy of probs (fast without probs). hard: of ``oversample`` times n fast ones those with the
+    smallest margins, ties settled by a seeded jitter under 1e-6. Anchors without both neighbours give none.
+    """
+    if how not in ("fast", "entropy", "hard"):
+        raise ValueError(how)
+    pool = labels.where("topic_id <> -1").select("doc_id")
+    if how == "entropy" and probs is not None:
+        pool = entropy_anchors(probs.join(pool, "doc_id", "left_semi"), fraction).select("doc_id")
+    draw = n * oversample if how == "hard" else n
+    anchors = pool.orderBy(uniform("doc_id", seed), "doc_id").limit(draw).select(F.col("doc_id").alias("src"))
+    found = nearest_same_different(knn.join(anchors, "src", "left_semi"), labels)
+    if how != "hard":
+        return found
+    return found.orderBy(F.col("margin") + uniform("anchor", seed + 1) * 1e-6, "anchor").limit(n)
+
+
 def disagreement(partitions: DataFrame, pairs: DataFrame) -> DataFrame:
     """a, b, minority: in how many runs the less frequent answer to "same community?" is given."""
     x = partitions.select("run", F.col("doc_id").alias("a"), F.col("community").alias("ca"))
@@ -339,15 +361,31 @@ def themes(client: Client, topics: list[dict], write: bool = True, chars: int =
         max(out, key=lambda o: sum(by[t]["size"] for t in o["topic_ids"]))["topic_ids"] += rest
     elif rest:
         out = [{"title": keyword_label(by[t]["keywords"])[0], "topic_ids": [t]} for t in rest]
-    for i, o in enumerate(out):
-        members = [by[t] for t in o["topic_ids"]]
-        words = list(OrderedDict.fromkeys(k for t in members for k in t["keywords"]))[:20]
-        o |= {"theme_id": i + 1, "total_size": sum(t["size"] for t in members), "keywords": words, "narrative": "", "unverified_quotes": []}
-        if write:
-            shown = [x[:chars] for t in members for x in t.get("examples", [])[:3]]
-            try:
-                o["narrative"] = client.complete(f"Write a short narrative on the theme {o['title']!r}, quoting only from these texts.\n" + "\n".join(shown)).strip()
-            except Exception:
-                o["narrative"] = f"{o['title']}: {', '.join(words[:6])}."
-            o["unverified_quotes"] = unverified(o["narrative"], shown)
-    return out
+    return [_theme(client, o["title"], i + 1, [by[t] for t in o["topic_ids"]], write, chars) for i, o in enumerate(out)]
+
+
+def _theme(client: Client, title: str, theme_id: int, members: list[dict], write: bool, chars: int) -> dict:
+    words = list(OrderedDict.fromkeys(k for t in members for k in t["keywords"]))[:20]
+    narrative, shown = "", []
+    if write:
+        shown = [x[:chars] for t in members for x in t.get("examples", [])[:3]]
+        try:
+            narrative = client.complete(f"Write a short narrative on the theme {title!r}, quoting only from these texts.\n" + "\n".join(shown)).strip()
+        except Exception:
+            narrative = f"{title}: {', '.join(words[:6])}."
+    return {"title": title, "topic_ids": [t["topic_id"] for t in members], "theme_id": theme_id, "total_size": sum(t["size"] for t in members), "keywords": words, "narrative": narrative, "unverified_quotes": unverified(narrative, shown) if write else []}
+
+
+def regenerate_theme(client: Client, themes: list[dict], theme_id: int, topics: list[dict], topic_ids: list[int] | None = None, chars: int = 1200) -> list[dict]:
+    """The themes with one written anew, over other topics if topic_ids is given (unknown ids are left out).
+
+    KeyError if there is no such theme, ValueError if no topic remains for it.
+    """
+    by = {t["topic_id"]: t for t in topics}
+    old = next((t for t in themes if t["theme_id"] == theme_id), None)
+    if old is None:
+        raise KeyError(theme_id)
+    members = [by[i] for i in dict.fromkeys(old["topic_ids"] if topic_ids is None else topic_ids) if i in by]
+    if not members:
+        raise ValueError("a theme needs a topic")
+    return [_theme(client, t["title"], theme_id, members, True, chars) if t is old else t for t in themes]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from topicloom.functions import text as X
 from topicloom.functions import vectors as V
 from topicloom.functions.stopwords import ENGLISH
-from topicloom.operators import community, coreset, graph, guided, keywords, knn, metrics, topics
+from topicloom.operators import community, coreset, graph, guided, keywords, knn, metrics, rollups, topics
 from topicloom.plans.model import Config, TopicModel, pca
 from topicloom.streaming import cumulative
 
@@ -58,8 +58,8 @@ def vecs(s: SparkSession, d: str) -> DataFrame:
     return t(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("int").alias("topic_id"))
 
 
-def near(s: SparkSession, d: str) -> DataFrame:
-    return knn.self_knn(vecs(s, d).select(F.col("doc_id").alias("id"), "v"), K, backend="exact")
+def near(s: SparkSession, d: str, k: int = K) -> DataFrame:
+    return knn.self_knn(vecs(s, d).select(F.col("doc_id").alias("id"), "v"), k, backend="exact")
 
 
 D = f"d AS (SELECT doc_id, coalesce(text, '') AS text, {LANGS} AS topic_id FROM documents)"
@@ -550,12 +550,14 @@ def rare_topic_recall(s, d):
     return metrics.rare_topic_recall(c.join(topics.sizes(x), "topic_id"), c.where("topic_id % 2 = 0"), x.count(), 0.1)
 
 
-_TRIP = KNN + """, j AS (SELECT k.src, k.dst, k.sim, a.topic_id = b.topic_id AS same FROM knn k JOIN e a ON k.src = a.doc_id JOIN e b ON k.dst = b.doc_id),
+#: Neighbours among which the nearest with the same and with another label are sought.
+TRIPLET_K = 64
+_TRIP = KNN.replace(f"rank <= {K}", f"rank <= {TRIPLET_K}") + """, j AS (SELECT k.src, k.dst, k.sim, a.topic_id = b.topic_id AS same FROM knn k JOIN e a ON k.src = a.doc_id JOIN e b ON k.dst = b.doc_id),
 tr AS (SELECT p.src AS anchor, p.dst AS positive, n.dst AS negative, p.sim - n.sim AS margin FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) AS r FROM j WHERE same) WHERE r = 1) p JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) AS r FROM j WHERE NOT same) WHERE r = 1) n USING (src))"""
 
 
 def _triplets(s, d) -> DataFrame:
-    return guided.nearest_same_different(near(s, d), vecs(s, d))
+    return guided.nearest_same_different(near(s, d, TRIPLET_K), vecs(s, d))
 
 
 @query(f"WITH {_TRIP} SELECT anchor, positive, negative, round(margin, 6) AS margin FROM tr")
@@ -563,6 +565,30 @@ def nearest_same_diff(s, d):
     return rounded(_triplets(s, d), "margin")
 
 
+def _u(key: str, seed: int = 42) -> str:
+    return f"('0x' || substr(sha256({key} || ':{seed}'), 1, 13))::BIGINT / 4503599627370496.0"
+
+
+def _drawn(n: int) -> str:
+    return f"a AS (SELECT doc_id AS anchor FROM e ORDER BY {_u('doc_id')}, doc_id LIMIT {n})"
+
+
+@query(f"WITH {_TRIP}, {_drawn(60)} SELECT anchor, positive, negative, round(margin, 6) AS margin FROM tr JOIN a USING (anchor)")
+def triplets_fast(s, d):
+    return rounded(guided.sample_triplets(near(s, d, TRIPLET_K), vecs(s, d), 60), "margin")
+
+
+@query(f"WITH {_TRIP}, {_drawn(160)} SELECT anchor, positive, negative, round(margin, 6) AS margin FROM tr JOIN a USING (anchor) ORDER BY tr.margin + {_u('anchor', 43)} * 1e-6, anchor LIMIT 40")
+def triplets_hard(s, d):
+    return rounded(guided.sample_triplets(near(s, d, TRIPLET_K), vecs(s, d), 40, "hard"), "margin")
+
+
+@query(f"WITH {_TRIP}, ct AS (SELECT topic_id, i, avg(x) AS x FROM (SELECT topic_id, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM e) GROUP BY ALL), cv AS (SELECT topic_id, list(x ORDER BY i) AS c FROM ct GROUP BY 1), ex AS (SELECT doc_id, exp(5.0 * list_cosine_similarity(v, c)) AS z FROM e, cv), zp AS (SELECT doc_id, z / sum(z) OVER (PARTITION BY doc_id) AS p FROM ex), h AS (SELECT doc_id, round(-sum(p * ln(p)), 6) AS entropy FROM zp GROUP BY 1), hi AS (SELECT doc_id FROM (SELECT *, row_number() OVER (ORDER BY entropy DESC, doc_id) AS r, count(*) OVER () AS n FROM h) WHERE r <= ceil(0.5 * n)), a AS (SELECT doc_id AS anchor FROM hi ORDER BY {_u('doc_id')}, doc_id LIMIT 60) SELECT anchor, positive, negative, round(margin, 6) AS margin FROM tr JOIN a USING (anchor)")
+def triplets_entropy(s, d):
+    x = vecs(s, d)
+    return rounded(guided.sample_triplets(near(s, d, TRIPLET_K), x, 60, "entropy", topics.probabilities(x, topics.centroids(x))), "margin")
+
+
 @query(f"WITH {_TRIP} SELECT avg(CASE WHEN margin > 0 THEN 1.0 ELSE 0.0 END) AS accuracy FROM tr")
 def triplet_accuracy(s, d):
     return metrics.triplet_accuracy(_triplets(s, d), vecs(s, d))
@@ -661,6 +687,34 @@ def label_cooccurrence(s, d):
     return j.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").orderBy(F.desc("n"), "a", "b").limit(80)
 
 
+@query("WITH u AS (SELECT floor(epoch(max(ts) - min(ts)) / 86400) AS days FROM events), c AS (SELECT event_type, row_number() OVER (ORDER BY count(*) DESC, event_type) AS r FROM events WHERE event_type IS NOT NULL GROUP BY 1) SELECT CASE WHEN days <= 31 THEN date_trunc('day', ts)::TIMESTAMP WHEN days <= 365 THEN date_trunc('week', ts)::TIMESTAMP + INTERVAL 6 DAYS ELSE date_trunc('month', ts)::TIMESTAMP END AS start, CASE WHEN r <= 3 THEN event_type ELSE 'Other' END AS label, count(*) AS n FROM events LEFT JOIN c USING (event_type), u GROUP BY ALL")
+def topic_timeline(s, d):
+    x = rollups.over_time(t(s, d, "events"), "ts", "event_type", 3)
+    return x.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("SELECT date_trunc('week', ts)::TIMESTAMP + INTERVAL 6 DAYS AS start, coalesce(event_type, 'Other') AS label, count(*) AS n FROM events GROUP BY ALL")
+def topic_timeline_weekly(s, d):
+    x = rollups.over_time(t(s, d, "events"), "ts", "event_type", 10, "week")
+    return x.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("SELECT source AS \"group\", count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE lang = '{x}') AS n_{x}, round(count(*) FILTER (WHERE lang = '{x}') / count(*), 6) AS share_{x}" for x in ("de", "en", "es", "fr")) + " FROM documents GROUP BY source")
+def source_shares(s, d):
+    x = rollups.share_table(t(s, d, "documents"), "source", "lang")
+    return rounded(x, *(c for c in x.columns if c.startswith("share_")))
+
+
+@query("WITH c AS (SELECT source, lang, count(*) AS n, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, lang) AS r FROM documents WHERE lang IS NOT NULL GROUP BY source, lang) SELECT source AS \"group\", string_agg(lang || ' (' || n || ')', '; ' ORDER BY r) AS leaders FROM c WHERE r <= 3 GROUP BY source")
+def source_leaders(s, d):
+    return rollups.leading_in_group(t(s, d, "documents"), "source", "lang")
+
+
+@query(f"WITH c AS (SELECT lang, count(*) AS n, sum(count(*)) OVER () AS total FROM documents GROUP BY lang), q AS (SELECT lang, 200 * n // total AS q, 200 * n % total AS rest FROM c), k AS (SELECT lang, q, row_number() OVER (ORDER BY rest DESC, lang) AS r, 200 - sum(q) OVER () AS short FROM q), x AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {_u('doc_id')}, doc_id) AS rn FROM documents) SELECT doc_id, lang FROM x JOIN k USING (lang) WHERE rn <= q + CASE WHEN r <= short THEN 1 ELSE 0 END")
+def stratified_subsample(s, d):
+    return rollups.stratified_sample(t(s, d, "documents").select("doc_id", "lang"), "lang", 200)
+
+
 @query()
 def pca_reduce(s, d):
     return pca(vecs(s, d), 10).select("doc_id", F.transform("v", lambda x: F.round(x, 6)).alias("v"))

@@ -279,9 +279,10 @@ class TopicModel:
         return metrics.evaluation_summary(s.select("doc_id", "topic_id"), metrics.coherence(docs, words), words, self.partitions)
 
     def hierarchy(self, levels: int = 3) -> tuple[DataFrame, DataFrame]:
-        """Nodes (node_id, level, topic_id, parent_id, size, resolution) and membership (level, doc_id, topic_id)."""
+        """Nodes (node_id, level, topic_id, parent_id, size, resolution, keywords) and membership (level, doc_id, topic_id)."""
         r = self.config.resolution
         grid = [float(x) for x in np.geomspace(r / 4, r * 4, levels)] if levels > 1 else [r]
+        texts, stop = self._need().select("doc_id", "text"), stop_words(self.config.language)
         found = cut(community.runs(self._edges(), self._need().select("doc_id"), [self.config.seed], grid))
         member, nodes, above = None, None, None
         for level, res in enumerate(grid):
@@ -290,6 +291,9 @@ class TopicModel:
             size = own.where("topic_id <> -1").groupBy("topic_id").agg(F.count(F.lit(1)).alias("size"))
             up = topics.parents(own, above) if above is not None else size.select("topic_id", F.lit(None).cast("int").alias("parent_id"))
             node = size.join(up, "topic_id", "left").select(F.format_string(f"L{level}_%d", "topic_id").alias("node_id"), F.lit(level).alias("level"), "topic_id", F.when(F.col("parent_id").isNotNull(), F.format_string(f"L{level - 1}_%d", "parent_id")).alias("parent_id"), "size", F.lit(res).alias("resolution"))
+            terms = kw.top_terms(kw.ctfidf(texts.join(own, "doc_id"), stop), self.config.n_keywords)
+            words = terms.groupBy("topic_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("k"))
+            node = node.join(words, "topic_id", "left").select(*node.columns, F.transform("k", lambda x: x["term"]).alias("keywords"))
             m = own.select(F.lit(level).alias("level"), "doc_id", "topic_id")
             nodes = node if nodes is None else nodes.unionByName(node)
             member = m if member is None else member.unionByName(m)
@@ -357,6 +361,23 @@ def subtopics(nodes: DataFrame, node_id: str, depth: int = 1) -> DataFrame:
     return out
 
 
+def flatten(nodes: DataFrame, node_id: str | None = None) -> DataFrame:
+    """A node and all below it, or every node."""
+    if node_id is None:
+        return nodes
+    level = nodes.where(F.col("node_id") == node_id)
+    out = level
+    for _ in range(nodes.agg(F.max("level")).first()[0] or 0):
+        level = nodes.join(level.select(F.col("node_id").alias("up")), F.col("parent_id") == F.col("up"), "left_semi")
+        out = out.unionByName(level)
+    return out
+
+
+def get_node(nodes: DataFrame, node_id: str) -> dict | None:
+    r = nodes.where(F.col("node_id") == node_id).first()
+    return r.asDict() if r else None
+
+
 def leaves(nodes: DataFrame) -> DataFrame:
     return nodes.join(nodes.select(F.col("parent_id").alias("up")).where("up is not null").distinct(), F.col("node_id") == F.col("up"), "left_anti")
 

@@ -62,6 +62,14 @@ def encode(docs: DataFrame, encoder: Callable[[], object], prefix: str = "", nor
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, v array<double>")
 
 
+def embedding_dim(rows: DataFrame, v: str = "v") -> int | None:
+    """Length of the vectors; None without any, ValueError if they differ."""
+    r = rows.where(F.col(v).isNotNull()).agg(F.min(F.size(v)).alias("a"), F.max(F.size(v)).alias("b")).first()
+    if r["a"] != r["b"]:
+        raise ValueError(f"vectors of {r['a']} to {r['b']} numbers")
+    return r["a"]
+
+
 def retrying(call: Callable[[list[str]], np.ndarray], batch: int = 100, attempts: int = 3, sleep: Callable[[float], None] | None = None):
     """An encoder over a remote call: batches of at most 100 texts, retried after 1, 2, 4 ... seconds."""
     import time
@@ -181,6 +189,12 @@ def write_projector(rows: DataFrame, path: str, chars: int = 150) -> None:
     ordered.select(F.concat_ws("\t", F.col("doc_id").cast("string"), F.col("topic_id").cast("string"), clean(name), clean(F.array_join(F.slice("keywords", 1, 5), ", ")), clean(snippet(F.col("text"), chars))).alias("value")).write.mode("overwrite").text(f"{path}/metadata.tsv")
 
 
+def write_csv(rows: DataFrame, path: str) -> None:
+    """Quoted delimited files with a header, that union_csv reads back; arrays become text with "|" between items."""
+    cols = [F.array_join(F.col(f"`{f.name}`").cast("array<string>"), "|").alias(f.name) if isinstance(f.dataType, T.ArrayType) else F.col(f"`{f.name}`") for f in rows.schema]
+    rows.select(*cols).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
 def markdown_report(title: str, themes: Sequence[dict], topics: Sequence[dict]) -> str:
     out = [f"# {title}", "", f"{len(topics)} topics in {len(themes)} themes.", ""]
     for t in themes:
